@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm import linedup, media, mixing, packing, secrets, simhash, sstable
+from groundspark.llm import langid, linedup, media, minhash, mixing, packing, quality, secrets, simhash, sstable
 from groundspark.llm.common import documents, n_words, new_folder, text_or_empty
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -50,5 +50,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_chain(documents(spark, sf_dir))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.train(docs.where("not held_out and lang is not null and text is not null"))
+    return langid.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
