@@ -30,6 +30,7 @@ SIZE = BUCKETS + 4
 MAX_LABELLED = 50_000
 #: Keys that are sorted on the driver at most.
 MAX_SORTED = 10_000
+GOOD = 4
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x80-\xff]+")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -66,24 +67,47 @@ class _Count:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
 
+class Ratios:
+    """Log of target over raw probability of each bucket, each family smoothed by one count a bucket."""
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
+        self.target = target
+        self.usable = bool(target.sum() > 0)
+        self.log_raw = np.zeros(SIZE)
+        for f in FAMILIES:
+            self.log_raw[f] = np.log((raw[f] + 1) / (raw[f].sum() + len(raw[f])))
+        self.all = self._ratios(np.arange(SIZE), np.zeros(SIZE)) if self.usable else np.zeros(SIZE)
+
+    def _ratios(self, where: np.ndarray, less: np.ndarray) -> np.ndarray:
+        out = np.log(self.target[where] - less + 1) - self.log_raw[where]
+        for f in FAMILIES:
+            inside = (where >= f.start) & (where < f.stop)
+            out[inside] -= np.log(self.target[f].sum() - less[inside].sum() + f.stop - f.start)
+        return out
+
+    def weight(self, text: str | None, in_target: bool) -> float:
+        """A document that is part of the target is judged by the others of it alone, as one without a label is."""
+        where, n = ngram_counts(text)
+        if in_target and self.usable and len(where):
+            return float(self._ratios(where, n.astype("f8")) @ n)
+        return float(self.all[where] @ n)
+
+
 class _Score:
     """log_weight and key of each row; or, given a cut, the rows whose key reaches it."""
 
-    def __init__(self, ratios, seed: int, cut: float | None = None):
-        self.ratios, self.seed, self.cut = ratios, seed, cut
+    def __init__(self, ratios, labels, seed: int, cut: float | None = None):
+        self.ratios, self.labels, self.seed, self.cut = ratios, labels, seed, cut
 
     def gumbel(self, doc_id) -> float:
         u = (xxhash.xxh3_64_intdigest(str(doc_id).encode(), self.seed) + 0.5) / 2.0**64
         return float(-np.log(-np.log(u)))
 
     def __call__(self, batches):
-        ratios = self.ratios.value
+        ratios, good = self.ratios.value, self.labels.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            weights = []
-            for text in batch.column("text").to_pylist():
-                where, n = ngram_counts(text)
-                weights.append(float(ratios[where] @ n))
+            weights = [ratios.weight(text, good.get(i, False)) for i, text in zip(ids, batch.column("text").to_pylist(), strict=True)]
             keys = [w + self.gumbel(i) for w, i in zip(weights, ids, strict=True)]
             if self.cut is None:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weights, pa.float64()), pa.array(keys, pa.float64())], names=["doc_id", "log_weight", "key"])
@@ -91,24 +115,15 @@ class _Score:
                 yield batch.filter(pa.array([k >= self.cut for k in keys], pa.bool_()))
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability of each bucket, each family smoothed by one count a bucket."""
-    out = np.zeros(SIZE)
-    for f in FAMILIES:
-        k = len(raw[f])
-        out[f] = np.log((target[f] + 1) / (target[f].sum() + k)) - np.log((raw[f] + 1) / (raw[f].sum() + k))
-    return out
-
-
 def best_threshold(weights: np.ndarray, good: np.ndarray) -> float:
-    """The middle of the widest gap among those that part good from bad with the largest sum of both rates."""
+    """The middle of the widest gap among the best cuts; the rate of good rows kept counts GOOD times that of bad ones dropped."""
     if not good.any() or good.all():
         return float("-inf")
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order]
     kept_good = g[::-1].cumsum()[::-1] / g.sum()  # if the cut is just below this row
     dropped_bad = np.concatenate([[0], (~g).cumsum()[:-1]]) / (~g).sum()
-    value = kept_good + dropped_bad
+    value = GOOD * kept_good + dropped_bad
     value[1:][w[1:] == w[:-1]] = -1
     gap = np.diff(w, prepend=w[0] - 1)
     i = max(np.flatnonzero(value >= value.max() - 1e-12), key=lambda i: gap[i])
@@ -149,13 +164,14 @@ class Classifier:
         some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).collect()
         known = {int(r["doc_id"]): r["quality"] == 1 for r in some}
-        counted = rows.mapInArrow(_Count(spark.sparkContext.broadcast(known)), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        self.labels = spark.sparkContext.broadcast(known)
+        counted = rows.mapInArrow(_Count(self.labels), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
         raw, target = np.zeros(SIZE), np.zeros(SIZE)
         for r in counted.collect():  # SIZE rows at most
             raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
         usable = target.sum() > 0
-        self.seed, self.ratios = seed, spark.sparkContext.broadcast(log_ratios(raw, target) if usable else np.zeros(SIZE))
-        self.scored = held(rows.mapInArrow(_Score(self.ratios, seed), "doc_id long, log_weight double, key double"))
+        self.seed, self.ratios = seed, spark.sparkContext.broadcast(Ratios(raw, target))
+        self.scored = held(rows.mapInArrow(_Score(self.ratios, self.labels, seed), "doc_id long, log_weight double, key double"))
         ids = spark.createDataFrame([(k,) for k in known], "labelled long")
         pairs = self.scored.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled")).select("doc_id", "log_weight").limit(4 * MAX_LABELLED).collect() if known and usable else []
         weights, good = np.array([r["log_weight"] for r in pairs]), np.array([known[r["doc_id"]] for r in pairs], bool)
@@ -169,7 +185,7 @@ class Classifier:
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows of docs, all columns, that are kept."""
-        return docs.mapInArrow(_Score(self.ratios, self.seed, self.cut), docs.schema)
+        return docs.mapInArrow(_Score(self.ratios, self.labels, self.seed, self.cut), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
