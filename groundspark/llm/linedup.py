@@ -45,17 +45,20 @@ def repeated_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
 def dedup_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
     """docs with the text left and two more columns, n_lines and n_removed; every row stays, also with an empty text.
 
-    docs: doc_id, text and any columns but those two and text_hash. A null text stays null with no lines.
+    docs: doc_id, text and any other columns, which are kept (but for any of the two new names). A null
+    text stays null with no lines.
     """
-    covered = held(repeated_lines(docs, n)).withColumnsRenamed({"doc_id": "c_id", "text_hash": "c_hash"})
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # Other columns travel in one struct, so their names cannot clash with those used here.
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"))
+    covered = held(repeated_lines(rows, n)).withColumnsRenamed({"doc_id": "c_id", "text_hash": "c_hash"})
     joined = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left")
     lines = F.split("text", "\n")
     # covered is ascending and without repeats, so lines keep their order under array_except of positions.
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered")), lambda i: F.element_at(lines, i + 1))
+    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
     return joined.select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        *[text if c == "text" else F.col("rest")[c].alias(c) for c in kept],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
     )

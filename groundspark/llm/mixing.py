@@ -70,13 +70,16 @@ def finish(copy: Column) -> Column:
 def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """Every document with its place in the mix: doc_id, source, size, source_size, target, upto, copies (taken, from 0 to `most`).
 
-    sized: doc_id, source, size (long, null counts as 0), and columns to keep under names other than those
-    above. A null source is a source of its own and comes last; empty documents cost nothing and go out with the words around them; a null
+    sized: doc_id, source, size (long, null counts as 0), and other columns, which are kept (but for any of the new names). A null source is a source of its own and comes last; empty documents cost nothing and go out with the words around them; a null
     id is an id like others. Rows of equal id and size are exchangeable. The budget is the sum of all
     sizes; copies are taken in the order of finish times as long as they fit, copies of one and the same
     finish time all or none. No rows give no rows.
     """
-    queued = held(queue(held(sized.withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))), weights, most))
+    own = ("doc_id", "source", "size", "source_size", "target", "upto", "copies")
+    rest = [c for c in sized.columns if c not in own]
+    packed = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
+    rows = sized.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *packed)
+    queued = held(queue(held(rows), weights, most))
     bins = max(2048, queued.count() // ROWS_A_SLICE)
     turns = F.sequence(F.lit(0), F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int") + 1)) - 1)
     copies = queued.where("size > 0").select("size", F.explode(F.transform(turns, finish)).alias("finish"))
@@ -93,4 +96,4 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -
         cut = inside.withColumn("spent", spent).where(F.col("spent") <= budget).agg(F.max("finish")).first()[0]
         cut = edge[0]["bin"] / bins - 1e-12 if cut is None else cut
     fits = F.filter(turns, lambda copy: finish(copy) <= F.lit(cut)) if edge else turns
-    return queued.withColumn("copies", F.size(fits))
+    return queued.select("doc_id", *[F.col("rest")[c].alias(c) for c in rest], *own[1:-1], F.size(fits).alias("copies"))
