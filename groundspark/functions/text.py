@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces that cost one token each: up to four letters or digits of a run, a run of white space, any other character.
 COST = r"(?U)[A-Za-z]{1,4}|[0-9]{1,4}|\s+|[^\sA-Za-z0-9]"
@@ -29,7 +30,7 @@ def normalized_doi(doi: Column) -> Column:
     return F.nullif(bare, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(titles: pd.Series) -> pd.Series:
     def fold(t):
         if t is None:
@@ -107,7 +108,7 @@ def general_format(value: Column) -> Column:
     return F.when(value == 0, "0").when((e < -4) | (e >= 6) | exponent.isNull(), scientific).otherwise(fixed)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity as difflib gives it, rounded half to even to four places."""
     return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 4) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
