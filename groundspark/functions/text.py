@@ -63,7 +63,7 @@ def year_of(text: Column) -> Column:
 
 
 def peer_reviewed(types: Column, known: list[str]) -> Column:
-    parts = F.transform(F.split(F.lower(F.coalesce(types, F.lit(""))), "[;,]"), F.trim)
+    parts = F.transform(F.split(F.lower(F.coalesce(types, F.lit(""))), "[;,]"), lambda x: F.trim(x))
     return F.when(F.arrays_overlap(parts, F.array(*map(F.lit, known))), "yes").otherwise("unknown")
 
 
