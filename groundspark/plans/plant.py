@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundspark.fixtures import frame, values_sql
 from groundspark.functions import units
-from groundspark.operators import fsm, graph
+from groundspark.operators import fsm, graph, triples
 from groundspark.plans.registry import query
 
 #: The grid of values of the action space.
@@ -192,3 +192,11 @@ def p_naming_inconsistent(spark, sf_dir):
     w = Window.orderBy("a_ord")
     turned = bearing.select("asset_id", F.coalesce(F.lead("prefix").over(w), F.first("prefix").over(w)).alias("to"))
     return s.join(F.broadcast(turned), "asset_id").select("tag", F.concat_ws("_", "to", part(3), part(4)).alias("new_tag"))
+
+
+@query("SELECT 2465 AS triples, 2465 AS lines, 0 AS damaged")
+def p_triples(spark, sf_dir):
+    """The published number of triples; every one is a well-formed line of its own."""
+    lines = triples.n_triples(triples.plant(spark))
+    whole = r'^(<[^<> ]+>|_:\w+) <[^<> ]+> (<[^<> ]+>|_:\w+|"([^"\\]|\\.)*"(@en|\^\^<[^<> ]+>)?) \.$'
+    return lines.agg(F.count("*").alias("triples"), F.countDistinct("line").alias("lines"), F.count_if(~F.col("line").rlike(whole)).alias("damaged"))
