@@ -2,6 +2,52 @@
 
 from __future__ import annotations
 
+LINE_DEDUP = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+w AS (SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS win FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS n FROM w WHERE win IS NOT NULL) WHERE n > 1),
+cov AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (VALUES (0), (1), (2)) AS t(k)),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(cov.pos) AS n_removed, string_agg(line, chr(10) ORDER BY l.pos) FILTER (cov.pos IS NULL) AS text FROM l LEFT JOIN cov ON cov.doc_id = l.doc_id AND cov.pos = l.pos GROUP BY 1)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM d LEFT JOIN k USING (doc_id)
+"""
+
+MIXING = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/mix') AS h FROM documents),
+n AS (SELECT source, source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1)),
+v AS (SELECT *, 3 * source_size AS cap, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM n
+ WINDOW b AS (ORDER BY 3 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT first(level ORDER BY cap / w) AS final FROM v WHERE level * w < cap),
+t AS (SELECT source, source_size, CASE WHEN final IS NULL OR final * w >= cap THEN CAST(cap AS DOUBLE) ELSE final * w END AS target FROM v LEFT JOIN f ON true),
+q AS (SELECT s.doc_id, s.source, s.size, t.source_size, t.target, sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS upto FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT q.*, e.k, CAST(e.k * source_size + upto AS DOUBLE) / greatest(target, 1e-9) AS finish FROM q, (VALUES (0), (1), (2)) AS e(k) WHERE e.k < greatest(1, least(3, CAST(ceil(target / greatest(source_size, 1)) AS INTEGER) + 1))),
+o AS (SELECT finish, sum(size) OVER (ORDER BY finish) AS spent FROM c WHERE size > 0),
+cut AS (SELECT max(finish) AS cut FROM o WHERE spent <= (SELECT sum(size) FROM s))
+SELECT doc_id, source, size, source_size, target, CAST(size * count(*) FILTER (finish <= cut) AS BIGINT) AS taken FROM c, cut GROUP BY doc_id, source, size, source_size, target, upto
+"""
+
+_ASSIGN = """((?i:password|passwd|secret|token|api_?key))["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+
+
+def _matches(kind: str, rank: int, pattern: str, group: int, keep: str) -> str:
+    return f"""SELECT doc_id, owner, '{kind}' AS kind, {rank} AS rank, sum(length(piece)) OVER o + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, m, v, {keep} AS keep
+FROM (SELECT doc_id, owner, unnest(ms) AS m, unnest(regexp_extract_all(text, '{pattern}', {group})) AS v, unnest(list_slice(string_split_regex(text, '{pattern}'), 1, len(ms))) AS piece, generate_subscripts(ms, 1) AS i
+FROM (SELECT *, regexp_extract_all(text, '{pattern}') AS ms FROM d)) WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS owner FROM documents),
+found AS ({_matches('assign', 1, _ASSIGN, 2, 'length(v) >= 12')} UNION ALL {_matches('access', 2, 'AKIA[A-Z0-9]+', 0, 'length(v) >= 18')} UNION ALL {_matches('hex', 3, '[0-9a-f]+', 0, 'length(v) >= 16')}
+UNION ALL {_matches('owned', 4, '[A-Za-z0-9+/_.=-]+', 0, "length(v) >= 12 AND regexp_matches(v, '[0-9]')")}),
+spans AS (SELECT doc_id, owner, kind, rank, CAST(start AS BIGINT) AS start, CAST(start + length(m) AS BIGINT) AS stop, v FROM found WHERE keep),
+base AS (SELECT * FROM spans WHERE rank < 4), values_ AS (SELECT v, count(DISTINCT owner) <= 1 AS live FROM base GROUP BY 1),
+more AS (SELECT s.* FROM spans s JOIN values_ USING (v) WHERE rank = 4 AND live AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND s.start < b.stop AND b.start < s.stop)),
+b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS w,
+ count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM base JOIN values_ USING (v) GROUP BY 1),
+e AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(w, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": LINE_DEDUP, "op6_secrets": SECRETS, "op7_mixing": MIXING}
