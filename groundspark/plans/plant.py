@@ -200,3 +200,41 @@ def p_triples(spark, sf_dir):
     lines = triples.n_triples(triples.plant(spark))
     whole = r'^(<[^<> ]+>|_:\w+) <[^<> ]+> (<[^<> ]+>|_:\w+|"([^"\\]|\\.)*"(@en|\^\^<[^<> ]+>)?) \.$'
     return lines.agg(F.count("*").alias("triples"), F.countDistinct("line").alias("lines"), F.count_if(~F.col("line").rlike(whole)).alias("damaged"))
+
+
+#: System and function letters of the plant designation, and vendors' names of roles.
+SYSTEMS = {"Pasteuriser": "LCA", "Filler": "LCB", "Capper": "LCC", "Labeller": "LCD", "CIPSkid": "LCE", "Compressor": "SCA", "Chiller": "SCB"}
+FUNCTIONS = {"measurement": "XQ", "setpoint": "XW", "command": "XG", "state": "XS", "kpi": "XK"}
+ROLES = {"measurement": "Value", "setpoint": "Setpoint", "command": "Command", "state": "State", "kpi": "Kpi"}
+
+
+def _case(column: str, table: dict[str, str], other: str):
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(column)), F.lit(other))
+
+
+def _case_sql(column: str, table: dict[str, str], other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{other}' END"
+
+
+def _named(spark: SparkSession) -> DataFrame:
+    a = frame(spark, "assets").select("asset_id", "kind", "manufacturer", "model")
+    return frame(spark, "signals").join(F.broadcast(a), "asset_id")
+
+
+@query(f"""{WITH('assets', 'signals')}, k AS (SELECT s.tag, s.ord, {_case_sql('a.kind', SYSTEMS, 'XXX')} AS sys, CASE WHEN a.asset_id LIKE 'L2%' THEN 20 ELSE 10 END AS unit, {_case_sql('s.role', FUNCTIONS, 'XQ')} AS fn FROM signals s JOIN assets a USING (asset_id))
+SELECT tag, '=' || unit // 10 || sys || unit || 'CP' || lpad(CAST(row_number() OVER (PARTITION BY sys, unit, fn ORDER BY ord) AS VARCHAR), 3, '0') || fn || '01' AS new_tag FROM k""")
+def p_naming_kks(spark, sf_dir):
+    """Designations with a counter for each system, unit and function."""
+    rows = _named(spark).select("tag", "ord", _case("kind", SYSTEMS, "XXX").alias("sys"), F.when(F.col("asset_id").startswith("L2"), 20).otherwise(10).alias("unit"), _case("role", FUNCTIONS, "XQ").alias("fn"))
+    n = F.row_number().over(Window.partitionBy("sys", "unit", "fn").orderBy("ord"))
+    return rows.select("tag", F.concat(F.lit("="), F.floor(F.col("unit") / 10).cast("int"), "sys", "unit", F.lit("CP"), F.lpad(n.cast("string"), 3, "0"), "fn", F.lit("01")).alias("new_tag"))
+
+
+@query(f"""{WITH('assets', 'signals')} SELECT s.tag, CASE WHEN a.manufacturer = '-' THEN 'Gen' ELSE replace(string_split(a.manufacturer, ' ')[1], ',', '') END || '.' || coalesce(nullif(regexp_replace(string_split(a.model, ' ')[1], '[^A-Za-z0-9]', '', 'g'), ''), 'Dev')
+|| '.Ch' || lpad(CAST(row_number() OVER (PARTITION BY s.asset_id ORDER BY s.ord) AS VARCHAR), 2, '0') || '.' || {_case_sql('s.role', ROLES, 'Value')} AS new_tag FROM signals s JOIN assets a USING (asset_id)""")
+def p_naming_vendor(spark, sf_dir):
+    """Maker, model, channel and role."""
+    n = F.row_number().over(Window.partitionBy("asset_id").orderBy("ord"))
+    maker = F.when(F.col("manufacturer") == "-", "Gen").otherwise(F.replace(F.split_part("manufacturer", F.lit(" "), F.lit(1)), F.lit(","), F.lit("")))
+    model = F.coalesce(F.nullif(F.regexp_replace(F.split_part("model", F.lit(" "), F.lit(1)), "[^A-Za-z0-9]", ""), F.lit("")), F.lit("Dev"))
+    return _named(spark).select("tag", F.concat(maker, F.lit("."), model, F.lit(".Ch"), F.lpad(n.cast("string"), 2, "0"), F.lit("."), _case("role", ROLES, "Value")).alias("new_tag"))

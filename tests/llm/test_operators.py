@@ -278,7 +278,7 @@ def test_minhash(docs, rows):
     texts = [t or "" for _, t, *_ in rows]
     for r in got:
         for t in {t or "" for i, t, *_ in rows if i == r.doc_id}:
-            if r.fingerprint == minhash.written(minhash.signature(minhash.word_hashes(t))):
+            if r.fingerprint == minhash.packed(minhash.signature(minhash.word_hashes(t))).hex():
                 by_text[t] = r
                 assert r.n_chars == len(t) or texts.count(t) > 1
                 nexts = {n or "" for _, n, *_ in rows}

@@ -43,6 +43,6 @@ def test_published_counts(spark):
     assert q["p_homographs"](spark, SF).count() == 22
     assert [r["size"] for r in q["p_action_space_write"](spark, SF).collect()] == [71540, 190, 755, 710]
     assert tuple(q["p_action_space_command"](spark, SF).first()) == (153, 81, 26)
-    for n in ("p_naming_opaque", "p_naming_inconsistent"):
+    for n in ("p_naming_opaque", "p_naming_inconsistent", "p_naming_kks", "p_naming_vendor"):
         tags = q[n](spark, SF)
         assert tags.count() == tags.select("new_tag").distinct().count() == 73
