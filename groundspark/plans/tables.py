@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundspark.functions import stats, text
-from groundspark.operators import graph, lexical
+from groundspark.operators import coverage, graph, lexical
 from groundspark.plans.registry import query, table
 
 #: Share of the base unit that a line number's unit stands for: a unit is assigned by l_linenumber % 4.
@@ -208,3 +208,32 @@ def t_fuzzy_pairs(spark, sf_dir):
     d = d.where("title <> ''").groupBy("lang", "title").agg(F.min("doc_id").alias("doc_id")).withColumn("block", F.regexp_extract("title", r"^(\S+ \S+ \S+)", 1)).where("block <> ''")
     a, b = d.toDF("lang", "title_a", "a", "block"), d.toDF("lang", "title_b", "b", "block")
     return a.join(b, ["lang", "block"]).where("a < b and abs(length(title_a) - length(title_b)) <= 0.08 * (length(title_a) + length(title_b))").withColumn("ratio", text.sequence_ratio("title_a", "title_b")).where("ratio >= 0.93").select("a", "b", "ratio")
+
+
+_PART_FACTS = """WITH r AS (SELECT 'size' AS category, p_partkey AS key, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT 'brand', p_partkey, p_brand FROM part),
+a AS (SELECT category, key, CASE WHEN key % 7 = 0 THEN value || '9' WHEN key % 11 = 0 THEN value || '.0' ELSE value END AS value FROM r WHERE key % 5 <> 0), b AS (SELECT category, key, CASE WHEN key % 3 = 0 THEN 'x' ELSE value END AS value FROM r WHERE key % 2 = 0),
+"""
+_SAME = "({0} = {1} OR coalesce(abs(TRY_CAST({0} AS DOUBLE) - TRY_CAST({1} AS DOUBLE)) <= 1e-9, false))"
+
+
+def _part_facts(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    fact = lambda c, v: p.select(F.lit(c).alias("category"), F.col("p_partkey").alias("key"), F.col(v).cast("string").alias("value"))
+    r = fact("size", "p_size").unionByName(fact("brand", "p_brand"))
+    a = r.where("key % 5 <> 0").withColumn("value", F.when(F.col("key") % 7 == 0, F.concat("value", F.lit("9"))).when(F.col("key") % 11 == 0, F.concat("value", F.lit(".0"))).otherwise(F.col("value")))
+    b = r.where("key % 2 = 0").withColumn("value", F.when(F.col("key") % 3 == 0, "x").otherwise(F.col("value")))
+    return r, a, b
+
+
+@query(_PART_FACTS + f"""o AS (SELECT r.category, CASE WHEN a.value IS NULL THEN 'missing' WHEN {_SAME.format('a.value', 'r.value')} THEN 'correct' ELSE 'conflict' END AS outcome FROM r LEFT JOIN a USING (category, key))
+SELECT category, count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'conflict') AS conflict, count(*) FILTER (outcome = 'missing') AS missing FROM o GROUP BY 1""")
+def t_facts_compared(spark, sf_dir):
+    r, a, _ = _part_facts(spark, sf_dir)
+    return coverage.counted(coverage.compared(r, a))
+
+
+@query(_PART_FACTS + f"""m AS (SELECT category, key, a.value AS va, b.value AS vb, r.value AS vr FROM a FULL JOIN b USING (category, key) LEFT JOIN r USING (category, key))
+SELECT category, key, CASE WHEN vb IS NULL OR (va IS NOT NULL AND {_SAME.format('va', 'vr')}) THEN va ELSE vb END AS value FROM m""")
+def t_facts_merged(spark, sf_dir):
+    r, a, b = _part_facts(spark, sf_dir)
+    return coverage.merged(a, b, r)
