@@ -98,14 +98,14 @@ def general_format(value: Column) -> Column:
     """%g: six significant digits, no zeros at the end; exponents below -4 or from 6 on."""
     exponent = F.floor(F.log10(F.abs(value))).cast("int")
     digits = F.format_string("%.5e", value)
-    e = F.when(value == 0, 0).otherwise(F.regexp_extract(digits, r"e([+-]\d+)$", 1).cast("int"))
+    e = F.when(value == 0, 0).otherwise(F.regexp_extract(digits, r"e([+-]\d+)$", 1).try_cast("int"))
     mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(digits, r"^([^e]+)e", 1), "0+$", ""), r"\.$", "")
     scientific = F.concat(mantissa, F.lit("e"), F.regexp_extract(digits, r"e([+-]\d+)$", 1))
     # Fixed notation with 5 - e digits after the point.
     fixed = F.when(F.lit(False), F.lit(""))
     for k in range(-4, 6):
         fixed = fixed.when(e == k, F.regexp_replace(F.regexp_replace(F.format_string(f"%.{5 - k}f", value), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
-    return F.when(value == 0, "0").when((e < -4) | (e >= 6) | exponent.isNull(), scientific).otherwise(fixed)
+    return F.when(value.isNull(), F.lit(None)).when(value == 0, "0").when((e < -4) | (e >= 6) | exponent.isNull(), scientific).otherwise(fixed)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundspark.fixtures import frame, values_sql
 from groundspark.functions import units
-from groundspark.operators import fsm, graph, triples
+from groundspark.operators import formats, fsm, graph, triples
 from groundspark.plans.registry import query
 
 #: The grid of values of the action space.
@@ -238,3 +238,9 @@ def p_naming_vendor(spark, sf_dir):
     maker = F.when(F.col("manufacturer") == "-", "Gen").otherwise(F.replace(F.split_part("manufacturer", F.lit(" "), F.lit(1)), F.lit(","), F.lit("")))
     model = F.coalesce(F.nullif(F.regexp_replace(F.split_part("model", F.lit(" "), F.lit(1)), "[^A-Za-z0-9]", ""), F.lit("")), F.lit("Dev"))
     return _named(spark).select("tag", F.concat(maker, F.lit("."), model, F.lit(".Ch"), F.lpad(n.cast("string"), 2, "0"), F.lit("."), _case("role", ROLES, "Value")).alias("new_tag"))
+
+
+@query("SELECT 2256 AS tokens")
+def p_historian_tokens(spark, sf_dir):
+    """The published token cost of the historian export."""
+    return formats.historian_cost(spark)
