@@ -17,12 +17,20 @@ from groundspark.llm.common import held
 LINES = 3
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _hashes(lines: Column, n: int = LINES) -> Column:
     """array<struct<a, b>>: two hashes of each window of n lines; none for shorter texts."""
-    starts = F.sequence(F.lit(1), F.size(lines) - n + 1)
-    window = lambda i: [F.element_at(lines, (i + k).cast("int")) for k in range(n)]
-    some = F.transform(starts, lambda i: F.struct(F.xxhash64(*window(i)).alias("a"), F.xxhash64(F.lit("second"), *window(i)).alias("b")))
-    return F.when(F.size(lines) >= n, some)
+
+    def windows(own: Column) -> Column:
+        part = lambda i: [F.element_at(own, (i + k).cast("int")) for k in range(n)]
+        hashes = lambda i: F.struct(F.xxhash64(*part(i)).alias("a"), F.xxhash64(F.lit("second"), *part(i)).alias("b"))
+        return F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), hashes))
+
+    return _let(lines, windows)
 
 
 def repeated_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
@@ -55,7 +63,7 @@ def dedup_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
     joined = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left")
     lines = F.split("text", "\n")
     # covered is ascending and without repeats, so lines keep their order under array_except of positions.
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered")), lambda i: F.element_at(lines, i + 1))
+    left = _let(lines, lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("covered")), lambda i: F.element_at(own, i + 1)))
     text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
     return joined.select(
         *[text if c == "text" else F.col("rest")[c].alias(c) for c in kept],
