@@ -2,7 +2,7 @@
 
 Each word shingle is hashed once; the hash's top bits name a bin, the smallest hash of a bin is its
 value. An empty bin takes the value of a bin drawn by a universal hash of its own number and the
-attempt, until that one is not empty. Of each bin the low eight bits are stored, and likenesses are
+attempt, until that one is not empty. Of each bin the low four bits are stored, two bins a byte, and likenesses are
 corrected for those that agree by chance.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from groundspark.llm.common import held
 
 BINS = 256
-BITS = 8
+BITS = 4
 WORDS = 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
@@ -80,8 +80,9 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return float(min(1.0, max(0.0, ((a == b).mean() - chance) / (1 - chance))))
 
 
-def written(s: np.ndarray | None) -> str:
-    return "" if s is None else s.tobytes().hex()
+def packed(s: np.ndarray | None) -> bytes:
+    """Two bins a byte; nothing for a text without words."""
+    return b"" if s is None else (s[::2] << BITS | s[1::2]).tobytes()
 
 
 def edited(text: str, following: str) -> str:
@@ -89,14 +90,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edge int, text string, part int"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((x, pa.string()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edge", pa.int32()), ("text", pa.string()), ("part", pa.int32())])
+SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, edge int, text string, part int"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((x, pa.binary()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edge", pa.int32()), ("text", pa.string()), ("part", pa.int32())])
 
 
 def compare(doc_id, text: str, own, following: str, theirs):
     changed = edited(text, following)
     other = signature(word_hashes(changed))
-    return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), written(own), written(other), likeness(own, other), likeness(own, theirs))
+    return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), packed(own), packed(other), likeness(own, other), likeness(own, theirs))
 
 
 def _walk(batches):
@@ -152,4 +153,5 @@ def fingerprint_chain(docs: DataFrame, parts: int | None = None) -> DataFrame:
     walked = held(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_walk, SCHEMA))
     own = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     ends = walked.where("edge > 0").select("doc_id", "edge", "text", "part").coalesce(1).mapInArrow(_edges, SCHEMA.split(", edge")[0])
-    return walked.where("edge = 0").select(own).unionByName(ends)
+    as_hex = {c: F.lower(F.hex(c)) for c in own[2:5]}  # stored as bytes, shown as text
+    return walked.where("edge = 0").select(own).unionByName(ends).withColumns(as_hex)
