@@ -31,7 +31,7 @@ _ODD = {"byte": "[\0\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 #: Separator that is always a piece of its own, and chunks that may be joined by it.
 _JOIN = {"byte": ("\n", f" ?[^{_WS}]+"), "word": (" | ", f"[^{_WS}|]+")}
 
-MAX_CACHED = 300_000
+MAX_CACHED = 700_000
 
 
 class Encoder:
