@@ -16,6 +16,8 @@ from groundspark.llm.common import documents, held, n_words, new_folder, text_or
 from groundspark.llm.queries import BYTE_BPE
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Texts whose sets of five-word shingles have this Jaccard similarity or more are near copies.
+LIKENESS = 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of rows with that id one stays."""
-    groups = simhash.near_groups(docs, words=5)
+    """Keeps the document with the smallest id of each group; of rows with that id one stays.
+
+    A group is what links of texts within four bits, or with Jaccard LIKENESS of their shingles, connect.
+    """
+    groups = simhash.near_rows(docs, words=5, least=LIKENESS)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = held(kept)
     left = docs.select(COLUMNS).join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")

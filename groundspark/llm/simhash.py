@@ -9,6 +9,10 @@ is a trie join of its own. Joins report links of a spanning forest of what they
 pairs of a group.
 
 Components come from rounds of star contraction over those links, each a pair of aggregations.
+
+Few differing bits mean near-equal texts only; where a likeness of shingle sets is asked for, texts
+that share a band of MinHash values are candidates too, and each such link is confirmed by the exact
+Jaccard similarity of the two sets.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ from groundspark.llm.common import held
 BITS = 64
 CHUNK = 1000
 LEAF = 32
+#: MinHash bands and values a band: of pairs with Jaccard 0.8 all but 1 - (1 - 0.8 ** 5) ** 32, some 3 in a million, share a band.
+BANDS, BAND_ROWS = 32, 5
+_ODD = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype="u8") * np.uint64(2) + np.uint64(1)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -56,21 +63,40 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def bands(distinct: np.ndarray) -> list[int]:
+    """A hash of each band of MinHash values of a set of shingle hashes; nothing for the empty set."""
+    if not len(distinct):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo("u8").max, "u8")
+    for i in range(0, len(distinct), 1 << 12):
+        np.minimum(least, (distinct[i : i + (1 << 12)] * _ODD[0] + _ODD[1]).min(1), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes()) - (1 << 63) for b in least.reshape(BANDS, BAND_ROWS)]
+
+
+def _set_of(distinct: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63)
+
+
 class _Fingerprints:
-    def __init__(self, words: int):
-        self.words = words
+    def __init__(self, words: int, banded: bool):
+        self.words, self.banded = words, banded
 
     def __call__(self, batches):
         for batch in batches:
-            values = [fingerprint(shingle_hashes(t, self.words)) for t in batch.column("text").to_pylist()]
+            hashes = [shingle_hashes(t, self.words) for t in batch.column("text").to_pylist()]
             at = batch.schema.get_field_index("text")
             rest = [(n, c) for k, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if k != at]
-            yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(np.array(values, "u8").view("i8"))], names=[n for n, _ in rest] + ["fp"])
+            rest.append(("fp", pa.array(np.array([fingerprint(h) for h in hashes], "u8").view("i8"))))
+            if self.banded:
+                sets = [np.unique(h) for h in hashes]
+                rest += [("set", pa.array([_set_of(x) for x in sets], pa.int64())), ("bands", pa.array([bands(x) for x in sets], pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([c for _, c in rest], names=[n for n, _ in rest])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row; null and wordless texts have 0."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_Fingerprints(words), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = 4, banded: bool = False) -> DataFrame:
+    """doc_id, text_hash and fp (the fingerprint's 64 bits as a long) of every row; null and wordless texts have 0. Banded: also set and bands."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(_Fingerprints(words, banded), "doc_id long, text_hash long, fp long" + (", set long, bands array<long>" if banded else ""))
 
 
 class Links:
@@ -172,6 +198,77 @@ def links(distinct: DataFrame, errors: int = 4) -> DataFrame:
     return tasks.groupBy("i", "head", "a", "b").applyInArrow(_join_chunks(errors), "u long, v long")
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets, each sorted and without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def set_join(left: list[np.ndarray], right: list[np.ndarray] | None, least: float) -> list[tuple[int, int]]:
+    """Links (positions, right after left) of a spanning forest of the pairs with Jaccard >= least; right None: of left with itself."""
+    sets = left + (right or [])
+    links = Links(len(sets))
+    groups: list[list[int]] = []  # what is linked; a set is tried on each group until one member is alike
+    for i, x in enumerate(sets):
+        apart, mine = [], [i]
+        for group in groups:
+            for j in group:
+                y = sets[j]
+                if (right is None or (j < len(left)) != (i < len(left))) and min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least:
+                    links.join(j, i)
+                    mine = group + mine
+                    break
+            else:
+                apart.append(group)
+        groups = [*apart, mine]
+    return links.found
+
+
+def _join_sets(least: float):
+    def run(key, table):
+        chunk_a, chunk_b = key[2].as_py(), key[3].as_py()
+        chunk, fp = table.column("chunk").to_numpy(), table.column("fp").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), "u8") for x in table.column("hashes")]
+        one, other = np.flatnonzero(chunk == chunk_a).tolist(), np.flatnonzero(chunk == chunk_b).tolist()
+        pairs = set_join([sets[i] for i in one], None if chunk_a == chunk_b else [sets[i] for i in other], least)
+        at = one if chunk_a == chunk_b else one + other
+        return pa.table({"u": pa.array([int(fp[at[i]]) for i, _ in pairs], pa.int64()), "v": pa.array([int(fp[at[j]]) for _, j in pairs], pa.int64())})
+
+    return run
+
+
+def _shingle_sets(words: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set", "hashes"])
+
+    return run
+
+
+def alike(docs: DataFrame, prints: DataFrame, words: int, least: float) -> DataFrame:
+    """u, v: links between fingerprints of texts whose shingle sets have Jaccard >= least.
+
+    prints: the banded fingerprints of docs. Equal sets are linked at once; unlike ones are compared where
+    they share a band, each bucket in chunks as in `links`. Buckets of the same sets are compared once.
+    """
+    sets = prints.where(F.size("bands") > 0).groupBy("set").agg(F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands"))
+    sets = held(sets)
+    equal = prints.select("set", F.col("fp").alias("v")).distinct().join(sets.select("set", F.col("fp").alias("u")), "set").where("u <> v").select("u", "v")
+    keyed = sets.select("set", "fp", F.posexplode("bands").alias("i", "head"))
+    sizes = keyed.groupBy("i", "head").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("members")).where("n > 1")
+    once = sizes.groupBy("n", "members").agg(F.min(F.struct("i", "head")).alias("b")).select("b.i", "b.head", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    chunked = held(keyed.join(once, ["i", "head"]).withColumn("chunk", F.pmod(F.xxhash64("fp", "set"), F.col("chunks")).cast("int")))
+    asked = chunked.select("set").distinct().join(sets, "set").select(F.col("text_hash").alias("its_hash")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("its_hash"), F.col("text").cast("string").alias("text")).join(asked, "its_hash", "left_semi").dropDuplicates(["its_hash"])
+    hashes = texts.select("text").mapInArrow(_shingle_sets(words), "set long, hashes binary")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
+    tasks = chunked.select("i", "head", "fp", "set", "chunk", F.explode(pairs).alias("p")).select("i", "head", "p.a", "p.b", "fp", "set", "chunk").join(hashes, "set")
+    return equal.unionByName(tasks.groupBy("i", "head", "a", "b").applyInArrow(_join_sets(least), "u long, v long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of u-v edges: root is the smallest node reachable.
 
@@ -193,6 +290,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select("v", "v").distinct().toDF("node", "root"))
 
 
+def near_rows(docs: DataFrame, words: int = 4, errors: int = 4, least: float | None = None) -> DataFrame:
+    """Every row: doc_id, text_hash, fp, root (one value a group), component_id as near_groups says.
+
+    least: rows whose shingle sets have at least that Jaccard similarity are linked too.
+    """
+    prints = held(fingerprints(docs, words, least is not None))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = links(distinct.select("fp"), errors)
+    if least is not None:
+        found = found.unionByName(alike(docs, prints, words, least))
+    roots = held(components(found))
+    labelled = held(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = labelled.join(smallest, "root").select(F.col("fp").alias("its_fp"), "root", "component_id")
+    return prints.join(by_fp, F.col("fp") == F.col("its_fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, words: int = 4, errors: int = 4) -> DataFrame:
     """Every row: doc_id, fp, component_id (the smallest id of the rows reachable by links, itself included).
 
@@ -200,13 +314,7 @@ def near_groups(docs: DataFrame, words: int = 4, errors: int = 4) -> DataFrame:
     fingerprint 0 and link like any other; a null id counts only where a group has no other (then the
     component is null); repeated rows stay. No rows give no rows.
     """
-    prints = held(fingerprints(docs, words))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = held(components(links(distinct.select("fp"), errors)))
-    labelled = held(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(smallest, "root").select(F.col("fp").alias("its_fp"), "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("its_fp")).select("doc_id", "fp", "component_id")
+    return near_rows(docs, words, errors).select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
