@@ -32,15 +32,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of rows with that id one stays.
+    """Keeps one document of each group: the one with the smallest id (null last), then the smallest hash of its text.
 
     A group is what links of texts within four bits, or with Jaccard LIKENESS of their shingles, connect.
+    Ids need not be unique: rows of one id in different groups each stay, of rows of one id and text one does.
     """
     groups = simhash.near_rows(docs, words=5, least=LIKENESS)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = held(kept)
-    left = docs.select(COLUMNS).join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else left
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
+    first = groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")).groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), key).alias("k"))
+    kept = held(first.select(F.col("k.doc_id").alias("its_id"), F.col("k.text_hash").alias("its_hash"), F.col("k.n").alias("n")))
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    left = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash")), "left_semi")
+    return (left.dropDuplicates(["doc_id", "text_hash"]) if kept.where("n > 1").limit(1).count() else left).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,12 @@ def test_copies_of_likeness_080_are_linked(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()}
     assert kept == {top(i) for i in range(len(texts))}
+
+
+def test_each_group_keeps_a_row_whatever_its_id(spark):
+    rng = random.Random(3)
+    one, two, three, four, five = (" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(5))
+    table = [(None, one), (None, two), (7, three), (7, four), (7, three), (9, four), (3, five), (8, five), (None, five)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in table], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.dedup_near(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, one), (None, two), (7, three), (7, four), (3, five)], key=str)
