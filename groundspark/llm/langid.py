@@ -3,26 +3,32 @@
 For each language, counts of the bytes that follow contexts of up to ORDER bytes are gathered from
 all labelled training rows and then frozen. The code length of a byte is that of the longest context
 known, or an escape from it and the code length under the next shorter one, down to equal shares; the
-language under which a text is shortest is its language. Contexts are those most frequent in the whole
-corpus, MAX_CONTEXTS at most, so the model that executors get has a fixed bound; their counts cover
-all training rows.
+language under which a text is shortest is its language. All contexts and all languages are kept, so the
+model grows with what the corpus holds; it lies in the shared folder, and tasks map its files.
 """
 
 from __future__ import annotations
 
+import io
 import re
+import shutil
+import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import held
+from groundspark.llm.common import new_folder
 
 ORDER = 3
-#: Bounds of the model: contexts (nodes of the tree) and languages.
-MAX_CONTEXTS = 12_000
-MAX_LANGUAGES = 64
+NAMES = ("grams", "costs", "contexts", "escapes")
+#: The bytes of a gram that belong to a context of each size and the byte after it.
+MASKS = (0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF)
+#: Cells of a table that the driver works on at a time.
+CELLS = 1 << 21
 _LETTER = re.compile(r"[^\W\d_]")
 PAD = b"\n" * ORDER
 
@@ -58,82 +64,108 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype("i8")), pa.array(n)], names=["lang", "gram", "n"])
 
 
+def _costs(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths of grams and their escapes, each gram x language."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
+        return np.where(n > 0, -np.log2(n / (total + kinds)), escape + base), escape
+
+
 class Model:
-    """Code lengths of each byte after each known context, by language."""
+    """Code lengths of each byte after each known context, by language, in a shared folder.
+
+    For each size of context, 0 to ORDER: grams (context and byte, ascending), their costs (gram x language),
+    contexts (ascending) and their escapes (context x language). Tasks map the files and read what they need.
+    """
+
+    def __init__(self, langs: list[str], folder: str):
+        self.langs, self.folder, self.tables = langs, folder, None
+
+    def __getstate__(self):
+        return {"langs": self.langs, "folder": self.folder, "tables": None}
 
-    def __init__(self, langs: list[str], children: np.ndarray, shorter: list[np.ndarray], costs: np.ndarray):
-        # children: context tree, node x byte read backwards -> node (0: none); costs: node x byte x language.
-        self.langs, self.children, self.costs = langs, children, costs
+    def _load(self, name: str) -> np.ndarray:
+        system, path = fs.FileSystem.from_uri(f"{self.folder}/{name}.npy")
+        if isinstance(system, fs.LocalFileSystem):
+            return np.asarray(np.load(path, mmap_mode="r"))
+        with system.open_input_file(path) as f:
+            return np.load(io.BytesIO(f.read()))
 
     def score(self, raw: bytes) -> np.ndarray:
         """Bits of a text under each language."""
-        d = np.frombuffer(PAD + raw, "u1").astype("i8")
+        if self.tables is None:
+            self.tables = [[self._load(f"{name}-{size}") for name in NAMES] for size in range(ORDER + 1)]
+        d = np.frombuffer(PAD + raw, "u1")
         total = np.zeros(len(self.langs))
-        for i in range(0, len(d) - ORDER, 1 << 16):
-            part = d[i : i + (1 << 16) + ORDER]
-            node = np.zeros(len(part) - ORDER, "i4")
-            alive = node
-            for back in range(1, ORDER + 1):  # the longest context that the tree holds
-                alive = self.children[alive, part[ORDER - back : len(part) - back]]
-                if back > 1:
-                    alive = np.where(node_dead, 0, alive)
-                node_dead = alive == 0
-                node = np.where(node_dead, node, alive)
-            total += self.costs[node, part[ORDER:]].sum(0, dtype="f8")
+        for i in range(0, len(d) - ORDER, 1 << 14):
+            left = np.sort(grams(d[i : i + (1 << 14) + ORDER]))
+            for size in range(ORDER, -1, -1):  # the longest context that is known, or an escape from it
+                known, costs, contexts, escapes = self.tables[size]
+                left = left & np.uint32(MASKS[size])
+                at = np.minimum(np.searchsorted(known, left), len(known) - 1)
+                hit = known[at] == left
+                total += costs[at[hit]].sum(0, dtype="f8")
+                left = left[~hit]
+                at = np.minimum(np.searchsorted(contexts, left >> 8), len(contexts) - 1)
+                total += escapes[at[contexts[at] == left >> 8]].sum(0, dtype="f8")
+            total += 8.0 * len(left)
         return total
 
 
-def fit_tables(langs: list[str], contexts: list[bytes], counts: dict[bytes, np.ndarray]) -> Model:
-    """contexts: those of 1..ORDER bytes to keep, closed under dropping the first byte; counts: context -> byte x language."""
-    nodes = [b"", *sorted(contexts, key=lambda c: (len(c), c))]
-    at = {c: i for i, c in enumerate(nodes)}
-    children = np.zeros((len(nodes), 256), "i4")
-    costs = np.zeros((len(nodes), 256, len(langs)), "f4")
-    for i, c in enumerate(nodes):
-        if c:
-            children[at[c[1:]], c[0]] = i  # one more byte further back
-        base = costs[at[c[1:]]] if c else np.full((256, len(langs)), 8.0)
-        n = counts[c].astype("f8")
-        total, kinds = n.sum(0), (n > 0).sum(0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(n / (total + kinds))
-            escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-        costs[i] = np.where(n > 0, seen, escape + base)
-    return Model(langs, children, [], costs)
+def fit_tables(langs: list[str], keys: np.ndarray, column: np.ndarray, n: np.ndarray, folder: str) -> Model:
+    """keys: grams (u4), column: positions in langs, n: counts. Writes the model's files; tables are built on disk, some contexts at a time."""
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path)
+    width = len(langs)
+    with tempfile.TemporaryDirectory() as local:
+        shorter = shorter_costs = None
+        for size in range(ORDER + 1):
+            pairs, where = np.unique((keys & np.uint32(MASKS[size])).astype("i8") * width + column, return_inverse=True)
+            counts = np.bincount(where, n)
+            gram, lang = pairs // width, pairs % width
+            known, contexts = np.unique(gram), np.unique(gram >> 8)
+            costs = np.lib.format.open_memmap(f"{local}/costs-{size}.npy", "w+", "f4", (len(known), width))
+            escapes = np.lib.format.open_memmap(f"{local}/escapes-{size}.npy", "w+", "f4", (len(contexts), width))
+            step = max(1, CELLS // (width * 256))
+            for c in range(0, len(contexts), step):
+                some = contexts[c : c + step]
+                g0, g1 = np.searchsorted(known, [some[0] << 8, (some[-1] << 8) + 256])
+                p0, p1 = np.searchsorted(gram, [some[0] << 8, (some[-1] << 8) + 256])
+                have = np.zeros((g1 - g0, width))
+                have[np.searchsorted(known[g0:g1], gram[p0:p1]), lang[p0:p1]] = counts[p0:p1]
+                of = np.searchsorted(some, known[g0:g1] >> 8)
+                starts = np.searchsorted(of, np.arange(len(some)))
+                total, kinds = np.add.reduceat(have, starts), np.add.reduceat((have > 0).astype("f8"), starts)
+                base = 8.0 if not size else shorter_costs[np.searchsorted(shorter, known[g0:g1] & MASKS[size - 1])]
+                costs[g0:g1], _ = _costs(have, total[of], kinds[of], base)
+                escapes[c : c + step] = _costs(total, total, kinds, 0.0)[1]
+            costs.flush()
+            escapes.flush()
+            np.save(f"{local}/grams-{size}.npy", known.astype("u4"))
+            np.save(f"{local}/contexts-{size}.npy", contexts.astype("u4"))
+            shorter, shorter_costs = known, costs
+        for size in range(ORDER + 1):
+            for name in NAMES:
+                with open(f"{local}/{name}-{size}.npy", "rb") as f, system.open_output_stream(f"{path}/{name}-{size}.npy") as out:
+                    shutil.copyfileobj(f, out, 1 << 20)
+    return Model(langs, folder)
 
 
 def train(rows: DataFrame) -> Model | None:
     """rows: lang and text, both without nulls. None if there is none."""
-    counted = held(rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    by_lang = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in by_lang)
-    if not langs:
+    spark = rows.sparkSession
+    folder = new_folder(spark, "grams")
+    rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).write.parquet(folder)
+    system, path = fs.FileSystem.from_uri(folder)
+    table = pq.read_table(path, filesystem=system)  # a row a gram and language, however many rows were read
+    if not table.num_rows:
         return None
-    # The most frequent contexts of three bytes; shorter ones come with them.
-    most = min(MAX_CONTEXTS, MAX_CONTEXTS * 8 // max(8, len(langs)))
-    known = counted.where(F.col("lang").isin(langs)).withColumn("context", F.shiftright("gram", 8))
-    top = known.groupBy("context").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "context").limit(most).select("context")
-    inside = known.join(top, "context", "left_semi").groupBy("context", F.col("gram").bitwiseAND(F.lit(255)).alias("byte"), "lang").agg(F.sum("n").alias("n"))
-    # Shorter contexts are counted over all grams, kept or not: 65,536 contexts of two bytes at most, of which `most` stay.
-    two = known.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("g"), "lang").agg(F.sum("n").alias("n"))
-    top2 = two.groupBy(F.shiftright("g", 8).alias("context")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "context").limit(most // 4).select("context")
-    inside2 = two.withColumn("context", F.shiftright("g", 8)).join(top2, "context", "left_semi").select("context", F.col("g").bitwiseAND(F.lit(255)).alias("byte"), "lang", "n")
-    one = two.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFF)).alias("g"), "lang").agg(F.sum("n").alias("n")).select(F.shiftright("g", 8).alias("context"), F.col("g").bitwiseAND(F.lit(255)).alias("byte"), "lang", "n")
-    counts: dict[bytes, np.ndarray] = {}
-    column = {x: i for i, x in enumerate(langs)}
-    for size, frame in ((3, inside), (2, inside2), (1, one)):  # each bounded by contexts x 256 x languages
-        got = frame.toPandas()
-        for context, byte, lang, n in zip(got["context"].tolist(), got["byte"].tolist(), got["lang"].tolist(), got["n"].tolist(), strict=True):
-            key = int(context).to_bytes(size, "big")
-            if key not in counts:
-                counts[key] = np.zeros((256, len(langs)), "i8")
-            counts[key][byte, column[lang]] = n
-    # A context stays if the one without its first byte does.
-    kept = {c for c in counts if len(c) < 2}
-    kept |= {c for c in counts if len(c) == 2 and c[1:] in kept}
-    kept |= {c for c in counts if len(c) == 3 and c[1:] in kept}
-    counts[b""] = sum(counts[c] for c in kept if len(c) == 1)
-    return fit_tables(langs, sorted(kept), counts)
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    place = {x: i for i, x in enumerate(langs)}
+    column = np.array([place[x] for x in names], "i8")[coded.indices.to_numpy()]
+    return fit_tables(langs, table.column("gram").to_numpy().astype("u4"), column, table.column("n").to_numpy(), new_folder(spark, "model"))
 
 
 class _Predict:
