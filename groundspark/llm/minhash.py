@@ -2,7 +2,7 @@
 
 Each word shingle is hashed once; the hash's top bits name a bin, the smallest hash of a bin is its
 value. An empty bin takes the value of a bin drawn by a universal hash of its own number and the
-attempt, until that one is not empty. Of each bin the low four bits are stored, two bins a byte, and likenesses are
+attempt, until that one is not empty. Of each bin the low eight bits are stored, and likenesses are
 corrected for those that agree by chance.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from groundspark.llm.common import held
 
 BINS = 256
-BITS = 4
+BITS = 8
 WORDS = 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
@@ -81,8 +81,8 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 
 def packed(s: np.ndarray | None) -> bytes:
-    """Two bins a byte; nothing for a text without words."""
-    return b"" if s is None else (s[::2] << BITS | s[1::2]).tobytes()
+    """A byte a bin; nothing for a text without words."""
+    return b"" if s is None else s.tobytes()
 
 
 def edited(text: str, following: str) -> str:
