@@ -2,9 +2,10 @@
 
 Base spans come from patterns. The method then looks at where values occur: each candidate value's
 hash is counted by distinct owners and repositories. A value that many owners hold is a copied
-example; one that stays with a single owner and looks random is live. Every other place where a live
-value stands, without the words that gave it away, becomes a further span. Only DataFrame functions:
-a pattern's places come from the lengths of its matches and of the pieces between them.
+example; one that stays with a single owner is live, as the SQL has it: neither its look nor the number
+of its repositories is asked. Every other place where a live value stands, without the words that gave
+it away, becomes a further span; there it may be joined to other text by the characters of JOINTS. Only
+DataFrame functions: a pattern's places come from the lengths of its matches and of the pieces between them.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
-#: Values that may stand alone: whole runs of the value alphabet with a digit among them.
-BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{12,}"
+#: Runs of the value alphabet in which values may stand, and what joins a value to its neighbours there.
+BARE = r"[A-Za-z0-9+/_.=-]{12,}"
+JOINTS = "[./=-]"
 #: The long ones among the runs of HEX; a shorter run has no long part.
 LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 #: A value of more owners than this is a copied example.
@@ -30,9 +32,10 @@ OWNERS = 1
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
-def _places(text: Column, pattern: str, kind: str, group: int, least: int) -> Column:
+def _places(text: Column, pattern: str | Column, kind: str, group: int, least: int) -> Column:
     """Spans of leftmost matches that do not overlap, in code points."""
-    matches, pieces, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    pattern = F.lit(pattern)
+    matches, pieces, values = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(group))
     rows = F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(pieces, F.lit(1), F.size(matches)).alias("p"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
 
@@ -73,6 +76,29 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")).withColumn("live", F.col("owners") <= OWNERS)
 
 
+def _words(run: Column) -> Column:
+    """What lies between the joints of a run; the run itself if there is nothing else in it."""
+    found = F.array_distinct(F.array_remove(F.split(run, JOINTS, -1), ""))
+    return F.when(F.size(found) == 0, F.array(run)).otherwise(found)
+
+
+def _further(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """row, s: places of live values (value) within the runs of rows (row, base, bare) that no base span overlaps.
+
+    A place begins and ends at a joint or at an end of its run. A run and a value meet by the value's
+    longest word, which the run must hold as a whole; only runs that do are searched.
+    """
+    runs = rows.select("row", "base", F.posexplode("bare").alias("k", "run"))
+    longest = F.array_max(F.transform(_words(F.col("value")), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
+    asked = live.select("value", longest["word"].alias("word"))
+    met = runs.select("row", "k", F.explode(_words(F.col("run.value"))).alias("word")).join(asked, "word").select("row", "k", "value")
+    quoted = F.concat(F.lit(rf"(?:(?<![^./=-])|(?={JOINTS}))\Q"), F.col("value"), F.lit(rf"\E(?:(?![^./=-])|(?<={JOINTS}))"))
+    places = runs.join(met, ["row", "k"]).select("row", "base", "run", F.explode(_places(F.col("run.value"), quoted, "owned", 0, 1)).alias("p"))
+    at = F.col("run.start")
+    found = places.select("row", "base", F.struct(F.col("p.kind").alias("kind"), (at + F.col("p.start")).alias("start"), (at + F.col("p.end")).alias("end"), F.col("p.value").alias("value")).alias("s"))
+    return found.where(~F.exists("base", lambda y: (F.col("s.start") < y["end"]) & (y["start"] < F.col("s.end")))).select("row", "s")
+
+
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """Every row with what was found: doc_id, spans (all, in order), base (the patterns' own), n_live, n_copied (base spans by ownership).
 
@@ -87,8 +113,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     values = rows.select("row", "owner", "repository", F.explode("base").alias("s")).withColumn("hash", F.sha2("s.value", 256))
     owned = ownership(values)
     counted = values.select("row", "hash").join(owned, "hash").groupBy("row").agg(F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_copied"))
-    alone = rows.select("row", "base", F.explode("bare").alias("s")).where(~F.exists("base", lambda y: (F.col("s.start") < y["end"]) & (y["start"] < F.col("s.end"))))
-    alone = alone.select("row", "s", F.sha2("s.value", 256).alias("hash")).join(owned.where("live").select("hash"), "hash", "left_semi")
+    live = values.select("hash", "s.value").join(owned.where("live").select("hash"), "hash", "left_semi").select("value").distinct()
+    alone = _further(rows, live)
     more = alone.groupBy("row").agg(F.collect_list("s").alias("more"))  # a document's own
     joined = rows.join(counted, "row", "left").join(more, "row", "left")
     spans = _in_order(F.concat("base", F.coalesce("more", F.array().cast(SPAN))), (*KINDS, "owned"))
