@@ -50,3 +50,16 @@ def p_facts_by_condition(spark, sf_dir):
 def p_entity_links(spark, sf_dir):
     linked = elements.linked_assets(questions(spark).where("tid in ('GRD-01', 'GRD-02', 'GRD-03', 'GRD-04')"))
     return linked.groupBy("tid").agg(F.array_join(F.array_sort(F.collect_set("asset_id")), ",").alias("assets"))
+
+
+@query()
+def p_facts_by_every_condition(spark, sf_dir):
+    """All five conditions, C0 to C4; the SQL of p_facts_by_condition knows the first two."""
+    return elements.facts_by_condition(spark).groupBy("cond").agg(F.countDistinct("fact").alias("facts"))
+
+
+@query()
+def p_entity_links_of_all(spark, sf_dir):
+    """All nineteen questions; the SQL of p_entity_links knows four. A question without an asset has null."""
+    linked = elements.linked_assets(questions(spark)).groupBy("tid").agg(F.array_join(F.array_sort(F.collect_set("asset_id")), ",").alias("assets"))
+    return questions(spark).select("tid").join(linked, "tid", "left")
