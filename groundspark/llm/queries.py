@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundspark.llm import langid, linedup, media, minhash, mixing, packing, quality, secrets, simhash, sstable
 from groundspark.llm.common import documents, n_words, new_folder, text_or_empty
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:

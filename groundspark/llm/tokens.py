@@ -4,6 +4,7 @@ A BPE tokenizer cuts a text at fixed places before it merges anything, so the id
 ids of its chunks, one after the other, as long as every chunk starts where the tokenizer itself
 starts a new piece whatever stands before. `Encoder` cuts at such places only, keeps the ids of
 chunks it has seen (bounded, per worker process) and asks the tokenizers library for the others.
+A text that holds the string of one of the file's special tokens goes to the library as a whole.
 Tests hold it against the library on whole texts.
 """
 
@@ -35,14 +36,16 @@ MAX_CACHED = 700_000
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit integers; special tokens' strings are ordinary text."""
+    """ids of texts as little-endian unsigned 32-bit integers; as in the library, special tokens' strings in a text are those tokens."""
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self._whole = Tokenizer.from_file(path)
+        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = True  # chunks hold none, but for what lower-casing makes, which is none either
         self._merges = self._tokenizer.model.tokenize
         self._word = kind == "word"
         self._chunks = re.compile(_CHUNKS[kind]).findall
@@ -103,7 +106,8 @@ class Encoder:
         if len(self._cache) > MAX_CACHED:
             self._cache.clear()
         get = self._cache.get
-        cut = [self._cut(t) if t else [] for t in texts]
+        whole = {i: t for i, t in enumerate(texts) if t and any(x in t for x in self._special)}
+        cut = [self._cut(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         found = [list(map(get, keys)) for keys in cut]
         missing = []
         for keys, got in zip(cut, found, strict=True):
@@ -115,7 +119,10 @@ class Encoder:
             self._learn(sorted({key for _, _, key in missing}))
             for got, i, key in missing:
                 got[i] = get(key)
-        return [b"".join(got) for got in found]
+        out = [b"".join(got) for got in found]
+        for i, t in whole.items():
+            out[i] = np.array(self._whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @lru_cache(maxsize=4)

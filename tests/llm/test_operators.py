@@ -20,9 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def ids_of(path, text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
