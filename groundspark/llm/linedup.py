@@ -3,8 +3,8 @@
 Every three consecutive lines of a document make a window. A window that occurs again, anywhere in
 the corpus, is a repeat of its first occurrence (smallest id, then first position); the lines that
 repeats cover, merged, are removed. Only DataFrame functions. Windows are compared by two 64-bit
-hashes of their lines together; the first occurrence comes from a pre-aggregated minimum, so a window
-that a third of all documents share costs one row a task.
+hashes of their lines together; the first occurrence comes from a pre-aggregated minimum, and a window
+that many documents share meets it by a broadcast bounded in rows, so it is no task of its own.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import held
+from groundspark.llm.common import held, join_once
 
 LINES = 3
 
@@ -42,9 +42,8 @@ def repeated_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
     """
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_hashes(F.split("text", "\n"), n)).alias("at", "w"))
     windows = own.select("doc_id", "text_hash", "at", "w.a", "w.b")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Only windows that occur more than once are joined; the join's large side may be split for hot windows.
-    later = windows.join(first, ["a", "b"]).where(F.struct("doc_id", "text_hash", "at") != F.col("first"))
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = join_once(windows, first, ["a", "b"]).where(F.struct("doc_id", "text_hash", "at") != F.col("first"))
     starts = later.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts"))  # at most a document's lines
     cover = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + n - 1)))))
     return starts.select("doc_id", "text_hash", cover.alias("covered"))
