@@ -4,7 +4,8 @@ Each source is a queue of its shuffled documents, gone through again when its ta
 than it has. A copy's virtual finish time is the number of tokens of its source up to and with it,
 divided by the source's target; copies go out in the order of finish times until the total budget is
 spent. Only DataFrame functions; running sums are made in two levels (sums by slice, then within a
-slice), so neither a hot source nor the global order meets in one task.
+slice), so neither a hot source nor the global order meets in one task. The place where the budget ends
+in the global order is found by histograms of finish times, each within the last one's bin.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from groundspark.llm.common import held
 
 ROWS_A_SLICE = 8192
 BINS = 2048
+#: Finish times that are sorted on the driver at most.
+MAX_SORTED = 10_000
 
 
-def shuffle_key(doc_id: Column, seed: str = "mix") -> Column:
-    """Pseudo-random, the same in each run: md5 of the id as text."""
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("/" + seed)))
+def shuffle_key(doc_id: Column, size: Column, rest: Column | None = None, seed: str = "mix") -> Column:
+    """Pseudo-random, the same in each run: md5 of the id and size as text, and of a hash of other columns; rows of one id spread by the others."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"), *([F.xxhash64(rest).cast("string")] if rest is not None else []), F.lit(seed)]
+    return F.md5(F.concat_ws("/", *parts))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -47,9 +51,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 def queue(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, upto (tokens of its source up to and with it).
 
-    sized: doc_id, source, size, and columns to keep. Rows of one id follow by size; equal rows are exchangeable.
+    sized: doc_id, source, size, and a struct `rest` to keep. Rows of one id follow by a hash of the others; equal rows are exchangeable.
     """
-    rows = sized.withColumn("h", shuffle_key(F.col("doc_id")))
+    rows = sized.withColumn("h", shuffle_key(F.col("doc_id"), F.col("size"), F.col("rest") if "rest" in sized.columns else None))
     digits = max(1, math.ceil(math.log(max(1, sized.count() / ROWS_A_SLICE), 16)))  # slices of the hash; results do not depend on them
     rows = rows.withColumn("slice", F.substring("h", 1, digits))
     by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -67,11 +71,43 @@ def finish(copy: Column) -> Column:
     return (copy * F.col("source_size") + F.col("upto")).cast("double") / F.greatest(F.col("target"), F.lit(1e-9))
 
 
+def last_within(copies: DataFrame, budget: int) -> float | None:
+    """The largest finish time up to which all copies together stay within the budget; None if all copies do.
+
+    copies: finish, size. Copies of one finish time count together. BINS sums or MAX_SORTED values reach the driver at a time.
+    """
+    low, high, total = copies.agg(F.min("finish"), F.max("finish"), F.sum("size")).first()
+    if not total or total <= budget:
+        return None
+    spent = 0
+    while True:
+        inside = copies.where((F.col("finish") >= low) & (F.col("finish") <= high))
+        width = (high - low) / BINS
+        place = F.least(F.floor((F.col("finish") - low) / width), F.lit(BINS - 1)) if low + width > low else (F.col("finish") > low).cast("long")
+        bins = inside.groupBy(place.alias("place")).agg(F.sum("size").alias("size"), F.min("finish").alias("low"), F.max("finish").alias("high"), F.count("*").alias("n")).collect()
+        for b in sorted(bins, key=lambda b: b["place"]):
+            if spent + b["size"] > budget:
+                break
+            spent += b["size"]
+        low, high = b["low"], b["high"]
+        if low == high or b["n"] <= MAX_SORTED:
+            break
+    cut = None
+    for r in sorted(copies.where((F.col("finish") >= low) & (F.col("finish") <= high)).groupBy("finish").agg(F.sum("size").alias("size")).collect(), key=lambda r: r["finish"]):
+        if spent + r["size"] > budget:
+            break
+        spent += r["size"]
+        cut = r["finish"]
+    if cut is None:
+        cut = copies.where(F.col("finish") < low).agg(F.max("finish")).first()[0]
+    return -1.0 if cut is None else cut
+
+
 def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """Every document with its place in the mix: doc_id, source, size, source_size, target, upto, copies (taken, from 0 to `most`).
 
     sized: doc_id, source, size (long, null counts as 0), and other columns, which are kept (but for any of the new names). A null source is a source of its own and comes last; empty documents cost nothing and go out with the words around them; a null
-    id is an id like others. Rows of equal id and size are exchangeable. The budget is the sum of all
+    id is an id like others. Rows equal in all columns are exchangeable. The budget is the sum of all
     sizes; copies are taken in the order of finish times as long as they fit, copies of one and the same
     finish time all or none. No rows give no rows.
     """
@@ -80,20 +116,8 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -
     packed = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
     rows = sized.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), *packed)
     queued = held(queue(held(rows), weights, most))
-    bins = max(2048, queued.count() // ROWS_A_SLICE)
     turns = F.sequence(F.lit(0), F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int") + 1)) - 1)
     copies = queued.where("size > 0").select("size", F.explode(F.transform(turns, finish)).alias("finish"))
-    copies = copies.withColumn("bin", F.floor(F.least(F.col("finish"), F.lit(4.0)) * bins))
-    # The global order by ranges of the finish time: whole bins up to the one in which the budget ends, then that one's own order.
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    by_bin = copies.groupBy("bin").agg(F.sum("size").alias("bin_size")).withColumn("bin_before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    budget = queued.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    edge = by_bin.where(F.col("bin_before") + F.col("bin_size") > budget).orderBy("bin").limit(1).collect()
-    cut = None
-    if edge:
-        inside = copies.where(F.col("bin") == edge[0]["bin"]).groupBy("finish").agg(F.sum("size").alias("size"))
-        spent = F.sum("size").over(Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, 0)) + edge[0]["bin_before"]
-        cut = inside.withColumn("spent", spent).where(F.col("spent") <= budget).agg(F.max("finish")).first()[0]
-        cut = edge[0]["bin"] / bins - 1e-12 if cut is None else cut
-    fits = F.filter(turns, lambda copy: finish(copy) <= F.lit(cut)) if edge else turns
+    cut = last_within(copies, queued.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    fits = F.filter(turns, lambda copy: finish(copy) <= F.lit(cut)) if cut is not None else turns
     return queued.select("doc_id", *[F.col("rest")[c].alias(c) for c in rest], *own[1:-1], F.size(fits).alias("copies"))

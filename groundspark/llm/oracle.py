@@ -13,7 +13,7 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS
 """
 
 MIXING = r"""
-WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/mix') AS h FROM documents),
+WITH s AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || size || '/mix') AS h FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)),
 n AS (SELECT source, source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1)),
 v AS (SELECT *, 3 * source_size AS cap, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM n
  WINDOW b AS (ORDER BY 3 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -38,14 +38,25 @@ FROM (SELECT *, regexp_extract_all(text, '{pattern}') AS ms FROM d)) WINDOW o AS
 SECRETS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS owner FROM documents),
 found AS ({_matches('assign', 1, _ASSIGN, 2, 'length(v) >= 12')} UNION ALL {_matches('access', 2, 'AKIA[A-Z0-9]+', 0, 'length(v) >= 18')} UNION ALL {_matches('hex', 3, '[0-9a-f]+', 0, 'length(v) >= 16')}
-UNION ALL {_matches('owned', 4, '[A-Za-z0-9+/_.=-]+', 0, "length(v) >= 12 AND regexp_matches(v, '[0-9]')")}),
+UNION ALL {_matches('owned', 4, '[A-Za-z0-9+/_.=-]+', 0, "length(v) >= 12")}),
 spans AS (SELECT doc_id, owner, kind, rank, CAST(start AS BIGINT) AS start, CAST(start + length(m) AS BIGINT) AS stop, v FROM found WHERE keep),
-base AS (SELECT * FROM spans WHERE rank < 4), values_ AS (SELECT v, count(DISTINCT owner) <= 1 AS live FROM base GROUP BY 1),
-more AS (SELECT s.* FROM spans s JOIN values_ USING (v) WHERE rank = 4 AND live AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND s.start < b.stop AND b.start < s.stop)),
+base AS (SELECT * FROM spans WHERE rank < 4),
+counts AS (SELECT v, list_distinct(string_split(v, '')) AS kinds, count(DISTINCT owner) > 1 OR count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), chr(1))) > 8 AS copied FROM base GROUP BY v),
+values_ AS (SELECT v, copied, NOT copied AND len(kinds) >= 6 AND list_max(list_transform(kinds, lambda c: length(v) - length(replace(v, c, '')))) * 3 <= length(v) AND NOT contains(substring(v || v, 2, 2 * length(v) - 2), v)
+ AND NOT regexp_matches(lower(v), 'example|sample|dummy|placeholder|changeme|change_me|your[_-]?|redacted|xxxx|1234567|abcdefg|qwerty|password|secret') AS live FROM counts),
+word AS (SELECT v, (SELECT w FROM (SELECT unnest(string_split_regex(v, '[./=-]')) AS w) ORDER BY length(w) DESC, w DESC LIMIT 1) AS w FROM values_ WHERE live),
+run AS (SELECT DISTINCT doc_id, start, v, unnest(string_split_regex(v, '[./=-]')) AS w FROM spans WHERE rank = 4),
+place AS (SELECT doc_id, start, r.v AS run, word.v, list_filter(range(1, length(r.v) - length(word.v) + 2), lambda i: substring(r.v, i, length(word.v)) = word.v
+  AND (i = 1 OR contains('./=-', substring(r.v, i - 1, 1)) OR contains('./=-', substring(word.v, 1, 1)))
+  AND (i + length(word.v) > length(r.v) OR contains('./=-', substring(r.v, i + length(word.v), 1)) OR contains('./=-', right(word.v, 1)))) AS firsts FROM run r JOIN word USING (w)),
+alone AS (SELECT doc_id, start, v, unnest(list_reduce(list_transform(firsts, lambda i: [i]), lambda a, x: CASE WHEN x[1] >= a[-1] + length(v) THEN list_concat(a, x) ELSE a END)) AS i FROM place WHERE len(firsts) > 0),
+more AS (SELECT DISTINCT doc_id, 'owned' AS kind, 4 AS rank, start + i - 1 AS start, start + i - 1 + length(v) AS stop FROM alone),
+kept AS (SELECT m.* FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND m.start < b.stop AND b.start < m.stop)),
 b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS w,
- count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM base JOIN values_ USING (v) GROUP BY 1),
-e AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY 1)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(w, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)
+ count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT live AND NOT copied) AS n_plain FROM base JOIN values_ USING (v) GROUP BY 1),
+e AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM (SELECT doc_id, kind, rank, start, stop FROM base UNION ALL SELECT doc_id, kind, rank, start, stop FROM kept) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(w, '')) AS base_sha256, coalesce(spans, '') AS spans,
+coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_plain, 0) AS n_plain FROM d LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)
 """
 
 

@@ -41,7 +41,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256")
-    return found.select("doc_id", *map(count, secrets.KINDS), base, secrets.written(F.col("spans")).alias("spans"), "n_live", "n_copied")
+    return found.select("doc_id", *map(count, secrets.KINDS), base, secrets.written(F.col("spans")).alias("spans"), "n_live", "n_copied", "n_plain")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Base spans come from patterns. The method then looks at where values occur: each candidate value's
-hash is counted by distinct owners and repositories. A value that many owners hold is a copied
-example; one that stays with a single owner is live, as the SQL has it: neither its look nor the number
-of its repositories is asked. Every other place where a live value stands, without the words that gave
-it away, becomes a further span; there it may be joined to other text by the characters of JOINTS. Only
-DataFrame functions: a pattern's places come from the lengths of its matches and of the pieces between them.
+hash is counted by distinct owners and repositories. A value that several owners hold, or many
+repositories of one, is a copied example; of the others, one that looks random is live and one that does
+not is plain. Every other place where a live value stands, without the words that gave it away, becomes a
+further span; there it may be joined to other text by the characters of JOINTS. Only DataFrame functions:
+a pattern's places come from the lengths of its matches and of the pieces between them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import held, text_or_empty
+from groundspark.llm.common import held, join_once, text_or_empty
 
 # The patterns of the three base kinds and the least length of their value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,8 +27,12 @@ BARE = r"[A-Za-z0-9+/_.=-]{12,}"
 JOINTS = "[./=-]"
 #: The long ones among the runs of HEX; a shorter run has no long part.
 LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
-#: A value of more owners than this is a copied example.
-OWNERS = 1
+#: A value of more owners, or of more repositories, is a copied example.
+OWNERS, REPOSITORIES = 1, 8
+#: What a random value has: so many different characters at least, none of them in more than this part of it.
+DIFFERENT, PART = 6, 3
+#: Words of placeholders.
+PLACEHOLDER = "example|sample|dummy|placeholder|changeme|change_me|your[_-]?|redacted|xxxx|1234567|abcdefg|qwerty|password|secret"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -69,11 +73,21 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def looks_random(value: Column) -> Column:
+    """DIFFERENT characters or more, none in more than one PARTth of it, no period, no word of a placeholder."""
+    kinds = F.array_distinct(F.split(value, ""))
+    most = F.array_max(F.transform(kinds, lambda c: F.length(value) - F.length(F.replace(value, c, F.lit("")))))
+    again = F.substring(F.concat(value, value), F.lit(2), 2 * F.length(value) - 2)
+    return (F.size(kinds) >= DIFFERENT) & (most * PART <= F.length(value)) & ~F.contains(again, value) & ~F.lower(value).rlike(PLACEHOLDER)
+
+
 def ownership(found: DataFrame) -> DataFrame:
-    """hash -> owners, repositories (distinct), live. found: hash, owner, repository; a null owner or repository is one of its own."""
-    once = found.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
-    by_owner = once.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")).withColumn("live", F.col("owners") <= OWNERS)
+    """hash -> value, n (places), owners, repositories (distinct), live, copied. found: hash, value, owner, repository; a null owner or repository is one of its own."""
+    once = found.groupBy("hash", "value", "owner", "repository").agg(F.count("*").alias("n"))
+    by_owner = once.groupBy("hash", "value", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
+    counted = by_owner.groupBy("hash", "value").agg(F.sum("n").alias("n"), F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    copied = (F.col("owners") > OWNERS) | (F.col("repositories") > REPOSITORIES)
+    return counted.select("*", (~copied & looks_random(F.col("value"))).alias("live"), copied.alias("copied"))
 
 
 def _words(run: Column) -> Column:
@@ -100,22 +114,25 @@ def _further(rows: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Every row with what was found: doc_id, spans (all, in order), base (the patterns' own), n_live, n_copied (base spans by ownership).
+    """Every row with what was found: doc_id, spans (all, in order), base (the patterns' own), n_live, n_copied, n_plain (base spans by ownership and look).
 
-    docs: doc_id, text and the columns named by owner and repository; others are ignored. A null text
-    counts as empty; a null owner is an owner of its own. Rows of equal id and text are counted as one
+    docs: doc_id, text and the columns named by owner and repository; others are ignored. Where there are no
+    such columns, the source owns a text and a document is a repository of its own. A null text counts as
+    empty; a null owner or repository is one of its own. Rows of equal id and text are counted as one
     place, and each of them is returned. Kinds of further spans: `owned`.
     """
     text = text_or_empty()
     bare = F.when(text.rlike(BARE), _places(text, BARE, "owned", 0, 12))
     rows = docs.select("doc_id", F.col(owner).alias("owner"), F.col(repository).cast("string").alias("repository"), base_spans(text).alias("base"), F.coalesce(bare, F.array().cast(SPAN)).alias("bare"))
     rows = held(rows.withColumn("row", F.monotonically_increasing_id()))
-    values = rows.select("row", "owner", "repository", F.explode("base").alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    owned = ownership(values)
-    counted = values.select("row", "hash").join(owned, "hash").groupBy("row").agg(F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_copied"))
-    live = values.select("hash", "s.value").join(owned.where("live").select("hash"), "hash", "left_semi").select("value").distinct()
+    values = rows.select("row", "owner", "repository", F.explode("base").alias("s")).select("row", "owner", "repository", "s.value", F.sha2("s.value", 256).alias("hash"))
+    owned = held(ownership(values))
+    kinds = {"n_live": F.col("live"), "n_copied": F.col("copied"), "n_plain": ~F.col("live") & ~F.col("copied")}
+    judged = join_once(values.select("row", "hash"), owned.select("hash", "n", "live", "copied"), ["hash"])
+    counted = judged.groupBy("row").agg(*[F.sum(c.cast("long")).alias(name) for name, c in kinds.items()])
+    live = owned.where("live").select("value")
     alone = _further(rows, live)
     more = alone.groupBy("row").agg(F.collect_list("s").alias("more"))  # a document's own
     joined = rows.join(counted, "row", "left").join(more, "row", "left")
     spans = _in_order(F.concat("base", F.coalesce("more", F.array().cast(SPAN))), (*KINDS, "owned"))
-    return joined.select("doc_id", "base", spans.alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    return joined.select("doc_id", "base", spans.alias("spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in kinds])
