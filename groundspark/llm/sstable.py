@@ -12,7 +12,8 @@ footer. A lookup reads the footer, asks the filter, bisects the index and scans
 
 A key is one byte (0: null id), the id as a sortable big-endian number, and a running number that
 tells equal ids apart. Files are written through pyarrow's file systems, so that any URI they know
-works; a task writes under a name of its own and the manifest lists those of finished tasks only.
+works; a task writes under a name of its own and the manifest lists those of finished tasks only. The
+caller removes a folder that is no longer needed.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundspark.llm.common import file_system
 from groundspark.llm.tokens import encoder
 
 MAGIC = b"GSSST001"
@@ -38,6 +39,9 @@ INDEX = struct.Struct("<13sQII")
 BLOCK_BYTES = 1 << 16
 BITS_A_KEY, PROBES = 10, 7
 BATCH = 64
+#: Bytes of text and documents a shard, about.
+SHARD_BYTES, SHARD_DOCS = 1 << 28, 1 << 22
+MANIFEST = "shard string, first_id long, last_id long, docs long, ids long"
 
 
 def key_of(doc_id: int | None, nth: int = 0) -> bytes:
@@ -69,17 +73,21 @@ def _read_varint(raw: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key[:9])
-    low, step = h & (1 << 64) - 1, h >> 64 | 1
-    return [(low + i * step) % bits for i in range(PROBES)]
+def _hash(key: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(key[:9])
+
+
+def _probes(hashes: bytes, bits: int) -> np.ndarray:
+    """Places in a filter of so many bits, a row a hash."""
+    low, step = np.frombuffer(hashes, "<u8").reshape(-1, 2).T
+    return (low[:, None] + np.arange(PROBES, dtype="u8") * (step[:, None] | np.uint64(1))) % np.uint64(bits)
 
 
 class Writer:
-    """Takes documents in ascending key order; memory is one block, the index and nine bytes a document."""
+    """Takes documents in ascending key order; memory is one block, the index, 16 bytes a document and the filter."""
 
     def __init__(self, out):
-        self.out, self.at, self.blocks, self.keys, self.docs, self.ids = out, 0, [], [], 0, 0
+        self.out, self.at, self.blocks, self.hashes, self.docs, self.ids = out, 0, [], bytearray(), 0, 0
         self._entries, self._size, self._first, self._last, self._n = [], 0, b"", b"", 0
 
     def add(self, key: bytes, ids: bytes) -> None:
@@ -98,7 +106,7 @@ class Writer:
         self._size += len(entry)
         self._last = key
         self._n += 1
-        self.keys.append(key[:9])
+        self.hashes += _hash(key)
         self.docs += 1
         self.ids += len(wide)
         if self._size >= BLOCK_BYTES:
@@ -121,11 +129,12 @@ class Writer:
         index_at = self.at
         self._write(b"".join(INDEX.pack(*b) for b in self.blocks))
         filter_at = self.at
-        bits = max(64, BITS_A_KEY * len(self.keys) + 7 & ~7)
-        field = np.zeros(bits, bool)
-        for key in self.keys:
-            field[_probes(key, bits)] = True
-        self._write(struct.pack("<I", PROBES) + np.packbits(field).tobytes())
+        bits = max(64, BITS_A_KEY * self.docs + 7 & ~7)
+        field = np.zeros(bits >> 3, "u1")
+        for i in range(0, len(self.hashes), 1 << 20):
+            at = _probes(bytes(self.hashes[i : i + (1 << 20)]), bits).ravel()
+            np.bitwise_or.at(field, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype("u1"))
+        self._write(struct.pack("<I", PROBES) + field.tobytes())
         self._write(FOOTER.pack(index_at, filter_at, self.docs, self.ids, len(self.blocks), MAGIC))
 
 
@@ -165,7 +174,7 @@ class Reader:
 
     def may_hold(self, doc_id: int | None) -> bool:
         raw = self._at(self.filter_at + 4, self.end - self.filter_at - 4)
-        return all(raw[p >> 3] >> (7 - p % 8) & 1 for p in _probes(key_of(doc_id), 8 * len(raw)))
+        return all(raw[p >> 3] >> (7 - p % 8) & 1 for p in _probes(_hash(key_of(doc_id)), 8 * len(raw))[0].tolist())
 
     def get(self, doc_id: int | None) -> list[bytes]:
         """ids of the documents with this id; none if there is none."""
@@ -180,7 +189,7 @@ class Reader:
 
 
 def open_shard(uri: str) -> Reader:
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = file_system(uri)
     source = system.open_input_file(path)
     return Reader(source, source.size())
 
@@ -191,7 +200,7 @@ class _Write:
 
     def __call__(self, batches):
         enc, writer, last, nth = encoder(self.tokenizer, self.kind), None, None, 0
-        system, folder = fs.FileSystem.from_uri(self.folder)
+        system, folder = file_system(self.folder)
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 ids, texts = (c.to_pylist() for c in batch.slice(i, BATCH).columns[:2])
@@ -209,6 +218,22 @@ class _Write:
             yield pa.RecordBatch.from_pydict({"shard": [name], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "docs": [writer.docs], "ids": [writer.ids]})
 
 
+class _Footers:
+    """The manifest's rows, whose counts must be those of the files."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def __call__(self, batches):
+        for batch in batches:
+            for name, docs, ids in zip(*(batch.column(x).to_pylist() for x in ("shard", "docs", "ids")), strict=True):
+                reader = open_shard(f"{self.folder}/{name}")
+                reader.source.close()
+                if (reader.docs, reader.ids) != (docs, ids):
+                    raise ValueError(f"{name} has {reader.docs} documents and {reader.ids} ids, the manifest {docs} and {ids}")
+                yield pa.RecordBatch.from_pydict({"shard": [name], "ids": [reader.ids]})
+
+
 class _Read:
     def __init__(self, folder: str):
         self.folder = folder
@@ -216,14 +241,18 @@ class _Read:
     def __call__(self, batches):
         for batch in batches:
             for name, start in zip(*(batch.column(x).to_pylist() for x in ("shard", "before")), strict=True):
-                reader, out = open_shard(f"{self.folder}/{name}"), []
+                reader, docs, end = open_shard(f"{self.folder}/{name}"), 0, start
+                end += reader.ids
                 for i in range(len(reader.blocks)):
                     out = []
                     for key, raw in reader.block(i):
                         out.append((id_of(key), start, len(raw) // 4, zlib.crc32(raw)))
                         start += len(raw) // 4
+                    docs += len(out)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 reader.source.close()
+                if (docs, start) != (reader.docs, end):
+                    raise ValueError(f"{name} does not hold what its footer says")
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word", end_id: int = 2, shards: int | None = None) -> DataFrame:
@@ -234,21 +263,26 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word
     are dealt by ranges of the id and a hash of the text, so even one id with a third of all rows is spread.
     """
     spark = docs.sparkSession
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = file_system(folder)
     system.create_dir(path)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(n, F.asc("doc_id"), F.asc("h")).sortWithinPartitions(F.asc("doc_id"), F.asc("h"))
-    manifest = ordered.mapInArrow(_Write(folder, tokenizer, kind, end_id), "shard string, first_id long, last_id long, docs long, ids long")
+    if not shards:  # as many as the texts ask for, and no fewer than there are tasks
+        count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // SHARD_DOCS), -(-size // SHARD_BYTES))
+    n = shards
+    order = [F.asc("doc_id"), F.asc("h"), F.asc("row")]  # the last one parts equal rows
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = ordered.mapInArrow(_Write(folder, tokenizer, kind, end_id), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """From the files: doc_id, start (ids before it in all shards), n_tokens, ids_crc32; one task a few shards."""
-    manifest = spark.read.schema("shard string, first_id long, last_id long, docs long, ids long").parquet(f"{folder}/manifest")
+    """From the files: doc_id, start (ids before it in all shards, by their footers), n_tokens, ids_crc32; one task a few shards."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    footers = manifest.mapInArrow(_Footers(folder), "shard string, ids long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    starts = manifest.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    starts = footers.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return starts.repartition(n).mapInArrow(_Read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
