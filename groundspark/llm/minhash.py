@@ -125,17 +125,14 @@ def _walk(batches):
 
 
 def _edges(batches):
-    """Last rows of partitions with the first row of the next one, all in one task: two rows a partition."""
-    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["part"], r["edge"]))
-    firsts, lasts = rows[::2], rows[1::2]
-    out = []
-    for i, last in enumerate(lasts):
-        follows = firsts[(i + 1) % len(firsts)]
-        own, theirs = (signature(word_hashes(r["text"])) for r in (last, follows))
-        out.append(compare(last["doc_id"], last["text"], own, follows["text"], theirs))
-    if out:
-        fields = list(_ARROW)[:7]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
+    """Last rows of partitions, each with the first row of the next one that has rows."""
+    fields = list(_ARROW)[:7]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (r,) = batch.slice(i, 1).to_pylist()
+            own, theirs = (signature(word_hashes(r[x])) for x in ("text", "following"))
+            out = compare(r["doc_id"], r["text"], own, r["following"], theirs)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(out, fields, strict=True)], schema=pa.schema(fields))
 
 
 def fingerprint_chain(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -148,10 +145,14 @@ def fingerprint_chain(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.desc("doc_id"), F.desc("h")]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
-    walked = held(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_walk, SCHEMA))
+    order = [F.desc("doc_id"), F.desc("h"), F.desc("row")]  # the last one parts equal rows
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    walked = held(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_walk, SCHEMA))
     own = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    ends = walked.where("edge > 0").select("doc_id", "edge", "text", "part").coalesce(1).mapInArrow(_edges, SCHEMA.split(", edge")[0])
+    parts_used = sorted(r["part"] for r in walked.where("edge = 1").select("part").collect())  # numbers of partitions, not rows
+    turn = spark.createDataFrame(list(zip(parts_used, parts_used[1:] + parts_used[:1], strict=True)), "part int, next int")
+    firsts = walked.where("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    lasts = walked.where("edge = 2").select("doc_id", "text", "part").join(F.broadcast(turn), "part").join(firsts, "next")
+    ends = lasts.select("doc_id", "text", "following").mapInArrow(_edges, SCHEMA.split(", edge")[0])
     as_hex = {c: F.lower(F.hex(c)) for c in own[2:5]}  # stored as bytes, shown as text
     return walked.where("edge = 0").select(own).unionByName(ends).withColumns(as_hex)
