@@ -2,9 +2,11 @@
 
 For each language, counts of the bytes that follow contexts of up to ORDER bytes are gathered from
 all labelled training rows and then frozen. The code length of a byte is that of the longest context
-known, or an escape from it and the code length under the next shorter one, down to equal shares; the
-language under which a text is shortest is its language. All contexts and all languages are kept, so the
-model grows with what the corpus holds; it lies in the shared folder, and tasks map its files.
+known, or an escape from it and the code length under the next shorter one, from which the bytes that
+the longer one knows are excluded, down to equal shares of what is left; so after any context the shares
+of all bytes sum to one. The language under which a text is shortest is its language. All contexts and
+all languages are kept, so the model grows with what the corpus holds; it lies in the shared folder, and
+tasks map its files.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import new_folder
+from groundspark.llm.common import file_system, new_folder
 
 ORDER = 3
-NAMES = ("grams", "costs", "contexts", "escapes")
+#: A size's tables: grams and their counts; contexts, how often they come, how many bytes follow them, and both for
+#: the next shorter context without the bytes that follow this one.
+NAMES = ("grams", "counts", "contexts", "total", "kinds", "left_total", "left_kinds")
 #: The bytes of a gram that belong to a context of each size and the byte after it.
 MASKS = (0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF)
 #: Cells of a table that the driver works on at a time.
@@ -64,28 +68,52 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype("i8")), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def _costs(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code lengths of grams and their escapes, each gram x language."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-        return np.where(n > 0, -np.log2(n / (total + kinds)), escape + base), escape
+def _rows(table: np.ndarray, keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """table's rows of the asked keys (ascending), zeros for those that are not among them."""
+    out = np.zeros((len(asked), table.shape[1]))
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hit = keys[at] == asked
+        out[hit] = table[at[hit]]
+    return out
+
+
+def code_lengths(tables: list[dict[str, np.ndarray]], asked: np.ndarray, width: int) -> np.ndarray:
+    """Bits of each asked gram's last byte after the bytes before it, gram x language."""
+    bits, done = np.zeros((len(asked), width)), np.zeros((len(asked), width), bool)
+    above = np.zeros((len(asked), width), bool)  # a longer context is known, so its bytes are excluded
+    left_total = left_kinds = np.zeros((len(asked), width))
+    left = 256.0 * np.ones((len(asked), width))  # bytes that no known context excludes
+    for size in range(ORDER, -1, -1):
+        t, gram = tables[size], asked & np.uint32(MASKS[size])
+        n, whole, follow = _rows(t["counts"], t["grams"], gram), _rows(t["total"], t["contexts"], gram >> 8), _rows(t["kinds"], t["contexts"], gram >> 8)
+        total, kinds = np.where(above, left_total, whole), np.where(above, left_kinds, follow)
+        escape = np.where(follow < 256, kinds, 0)  # from a context that all bytes follow there is no escape
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = ~done & (n > 0)
+            bits += np.where(hit, np.log2(total + escape) - np.log2(n), 0.0)
+            bits += np.where(~done & ~hit & (escape > 0), np.log2(total + escape) - np.log2(escape), 0.0)
+        done |= hit
+        above |= whole > 0
+        left = np.where(whole > 0, 256 - follow, left)
+        if size:
+            left_total, left_kinds = _rows(t["left_total"], t["contexts"], gram >> 8), _rows(t["left_kinds"], t["contexts"], gram >> 8)
+            # Where this context is not known, the next one is entered as a whole.
+    with np.errstate(divide="ignore"):
+        return bits + np.where(done, 0.0, np.log2(left))
 
 
 class Model:
-    """Code lengths of each byte after each known context, by language, in a shared folder.
-
-    For each size of context, 0 to ORDER: grams (context and byte, ascending), their costs (gram x language),
-    contexts (ascending) and their escapes (context x language). Tasks map the files and read what they need.
-    """
+    """The tables of each size of context, 0 to ORDER, and the code lengths of all whole grams known, in a shared folder; tasks map the files."""
 
     def __init__(self, langs: list[str], folder: str):
-        self.langs, self.folder, self.tables = langs, folder, None
+        self.langs, self.folder, self.tables, self.known = langs, folder, None, None
 
     def __getstate__(self):
-        return {"langs": self.langs, "folder": self.folder, "tables": None}
+        return {"langs": self.langs, "folder": self.folder, "tables": None, "known": None}
 
     def _load(self, name: str) -> np.ndarray:
-        system, path = fs.FileSystem.from_uri(f"{self.folder}/{name}.npy")
+        system, path = file_system(f"{self.folder}/{name}.npy")
         if isinstance(system, fs.LocalFileSystem):
             return np.asarray(np.load(path, mmap_mode="r"))
         with system.open_input_file(path) as f:
@@ -94,60 +122,68 @@ class Model:
     def score(self, raw: bytes) -> np.ndarray:
         """Bits of a text under each language."""
         if self.tables is None:
-            self.tables = [[self._load(f"{name}-{size}") for name in NAMES] for size in range(ORDER + 1)]
+            self.tables = [{name: self._load(f"{name}-{size}") for name in NAMES} for size in range(ORDER + 1)]
+            self.known = self.tables[ORDER]["grams"], self._load("lengths")
+        known, lengths = self.known
         d = np.frombuffer(PAD + raw, "u1")
         total = np.zeros(len(self.langs))
         for i in range(0, len(d) - ORDER, 1 << 14):
-            left = np.sort(grams(d[i : i + (1 << 14) + ORDER]))
-            for size in range(ORDER, -1, -1):  # the longest context that is known, or an escape from it
-                known, costs, contexts, escapes = self.tables[size]
-                left = left & np.uint32(MASKS[size])
-                at = np.minimum(np.searchsorted(known, left), len(known) - 1)
-                hit = known[at] == left
-                total += costs[at[hit]].sum(0, dtype="f8")
-                left = left[~hit]
-                at = np.minimum(np.searchsorted(contexts, left >> 8), len(contexts) - 1)
-                total += escapes[at[contexts[at] == left >> 8]].sum(0, dtype="f8")
-            total += 8.0 * len(left)
+            asked = np.sort(grams(d[i : i + (1 << 14) + ORDER]))
+            at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            hit = known[at] == asked
+            total += lengths[at[hit]].sum(0, dtype="f8")
+            if not hit.all():
+                total += code_lengths(self.tables, asked[~hit], len(self.langs)).sum(0)
         return total
 
 
+def _tables_of(size: int, keys: np.ndarray, column: np.ndarray, n: np.ndarray, width: int, shorter: dict | None, local: str) -> dict[str, np.ndarray]:
+    """A size's tables as files, some contexts at a time."""
+    pairs, where = np.unique((keys & np.uint32(MASKS[size])).astype("i8") * width + column, return_inverse=True)
+    counts = np.bincount(where, n)
+    gram, lang = pairs // width, pairs % width
+    known, contexts = np.unique(gram), np.unique(gram >> 8)
+    shape = {"counts": len(known), **dict.fromkeys(("total", "kinds", "left_total", "left_kinds"), len(contexts))}
+    t = {name: np.lib.format.open_memmap(f"{local}/{name}-{size}.npy", "w+", "f4" if "kinds" in name else "f8", (rows, width)) for name, rows in shape.items()}
+    step = max(1, CELLS // (width * 256))
+    for c in range(0, len(contexts), step):
+        some = contexts[c : c + step]
+        g0, g1 = np.searchsorted(known, [some[0] << 8, (some[-1] << 8) + 256])
+        p0, p1 = np.searchsorted(gram, [some[0] << 8, (some[-1] << 8) + 256])
+        have = np.zeros((g1 - g0, width))
+        have[np.searchsorted(known[g0:g1], gram[p0:p1]), lang[p0:p1]] = counts[p0:p1]
+        starts = np.searchsorted(known[g0:g1] >> 8, some)
+        t["counts"][g0:g1] = have
+        t["total"][c : c + step], t["kinds"][c : c + step] = np.add.reduceat(have, starts), np.add.reduceat((have > 0).astype("f8"), starts)
+        if shorter:
+            below = _rows(shorter["counts"], shorter["grams"], known[g0:g1] & MASKS[size - 1])
+            of = some & (MASKS[size - 1] >> 8)
+            t["left_total"][c : c + step] = _rows(shorter["total"], shorter["contexts"], of) - np.add.reduceat(np.where(have > 0, below, 0), starts)
+            t["left_kinds"][c : c + step] = _rows(shorter["kinds"], shorter["contexts"], of) - t["kinds"][c : c + step]
+    t |= {"grams": known.astype("u4"), "contexts": contexts.astype("u4")}
+    for name in ("grams", "contexts"):
+        np.save(f"{local}/{name}-{size}.npy", t[name])
+    return t
+
+
 def fit_tables(langs: list[str], keys: np.ndarray, column: np.ndarray, n: np.ndarray, folder: str) -> Model:
     """keys: grams (u4), column: positions in langs, n: counts. Writes the model's files; tables are built on disk, some contexts at a time."""
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = file_system(folder)
     system.create_dir(path)
     width = len(langs)
     with tempfile.TemporaryDirectory() as local:
-        shorter = shorter_costs = None
-        for size in range(ORDER + 1):
-            pairs, where = np.unique((keys & np.uint32(MASKS[size])).astype("i8") * width + column, return_inverse=True)
-            counts = np.bincount(where, n)
-            gram, lang = pairs // width, pairs % width
-            known, contexts = np.unique(gram), np.unique(gram >> 8)
-            costs = np.lib.format.open_memmap(f"{local}/costs-{size}.npy", "w+", "f4", (len(known), width))
-            escapes = np.lib.format.open_memmap(f"{local}/escapes-{size}.npy", "w+", "f4", (len(contexts), width))
-            step = max(1, CELLS // (width * 256))
-            for c in range(0, len(contexts), step):
-                some = contexts[c : c + step]
-                g0, g1 = np.searchsorted(known, [some[0] << 8, (some[-1] << 8) + 256])
-                p0, p1 = np.searchsorted(gram, [some[0] << 8, (some[-1] << 8) + 256])
-                have = np.zeros((g1 - g0, width))
-                have[np.searchsorted(known[g0:g1], gram[p0:p1]), lang[p0:p1]] = counts[p0:p1]
-                of = np.searchsorted(some, known[g0:g1] >> 8)
-                starts = np.searchsorted(of, np.arange(len(some)))
-                total, kinds = np.add.reduceat(have, starts), np.add.reduceat((have > 0).astype("f8"), starts)
-                base = 8.0 if not size else shorter_costs[np.searchsorted(shorter, known[g0:g1] & MASKS[size - 1])]
-                costs[g0:g1], _ = _costs(have, total[of], kinds[of], base)
-                escapes[c : c + step] = _costs(total, total, kinds, 0.0)[1]
-            costs.flush()
-            escapes.flush()
-            np.save(f"{local}/grams-{size}.npy", known.astype("u4"))
-            np.save(f"{local}/contexts-{size}.npy", contexts.astype("u4"))
-            shorter, shorter_costs = known, costs
+        tables: list[dict] = []
         for size in range(ORDER + 1):
-            for name in NAMES:
-                with open(f"{local}/{name}-{size}.npy", "rb") as f, system.open_output_stream(f"{path}/{name}-{size}.npy") as out:
-                    shutil.copyfileobj(f, out, 1 << 20)
+            tables.append(_tables_of(size, keys, column, n, width, tables[-1] if tables else None, local))
+        known = tables[ORDER]["grams"]
+        lengths = np.lib.format.open_memmap(f"{local}/lengths.npy", "w+", "f4", (len(known), width))
+        step = max(1, CELLS // (8 * width))
+        for i in range(0, len(known), step):
+            lengths[i : i + step] = code_lengths(tables, known[i : i + step], width)
+        lengths.flush()
+        for name in ["lengths", *(f"{x}-{size}" for size in range(ORDER + 1) for x in NAMES)]:
+            with open(f"{local}/{name}.npy", "rb") as f, system.open_output_stream(f"{path}/{name}.npy") as out:
+                shutil.copyfileobj(f, out, 1 << 20)
     return Model(langs, folder)
 
 
@@ -156,7 +192,7 @@ def train(rows: DataFrame) -> Model | None:
     spark = rows.sparkSession
     folder = new_folder(spark, "grams")
     rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).write.parquet(folder)
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = file_system(folder)
     table = pq.read_table(path, filesystem=system)  # a row a gram and language, however many rows were read
     if not table.num_rows:
         return None

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -302,40 +303,46 @@ def test_minhash_likeness_estimates_jaccard():
     assert minhash.likeness(*[minhash.signature(words[:1])] * 2) == 1.0
 
 
-def ppm_bits(text, lang, counts):
-    """Code length by the definition, one byte at a time."""
-    data, bits = langid.PAD + text, 0.0
-    for k in range(3, len(data)):
-        cost, spent = None, 0.0
-        for size in (3, 2, 1, 0):
-            c = counts[lang].get(data[k - size : k])
-            if c is None:
-                if data[k - size : k] not in counts["known"]:
-                    continue
-                c = Counter()
-            total, kinds = sum(c.values()), len(c)
-            if c[data[k]]:
-                cost = spent - np.log2(c[data[k]] / (total + kinds))
-                break
-            spent += -np.log2(kinds / (total + kinds)) if total else 0.0
-        bits += cost if cost is not None else spent + 8.0
-    return bits
+def ppm_share(text, byte, counts):
+    """Share of a byte after a text by the definition, as a fraction: escapes by distinct followers, excluded bytes."""
+    share, gone = Fraction(1), set()
+    for size in (3, 2, 1, 0):
+        seen = counts.get(text[len(text) - size :])
+        if not seen:
+            continue
+        left = {b: n for b, n in seen.items() if b not in gone}
+        whole = sum(left.values()) + (len(left) if len(seen) < 256 else 0)
+        if byte in left:
+            return share * Fraction(left[byte], whole)
+        share *= Fraction(len(left), whole) if left else 1
+        gone |= set(seen)
+    return share / (256 - len(gone))
+
+
+def ppm_bits(text, counts):
+    data = langid.PAD + text
+    return -sum(float(np.log2(float(ppm_share(data[:k], data[k], counts)))) for k in range(3, len(data)))
 
 
 def test_langid(spark):
     texts = {"en": "the cat and the hat with that other thing", "de": "der hund und die katze mit dem anderen ding", "fr": "le chat et le chien avec un autre objet"}
     train = [(lang, f"{t} {k}") for lang, t in texts.items() for k in range(4)]
     model = langid.train(spark.createDataFrame(train, "lang string, text string"))
-    counts = {lang: defaultdict(Counter) for lang in texts} | {"known": set()}
+    counts = {lang: defaultdict(Counter) for lang in texts}
     for lang, t in train:
         data = langid.PAD + t.encode()
         for k in range(3, len(data)):
             for size in range(4):
                 counts[lang][data[k - size : k]][data[k]] += 1
-                counts["known"].add(data[k - size : k])
     for probe in ("the dog and the house", "die frau und der mann", "un chat avec le zèbre"):
-        want = [ppm_bits(probe.encode(), lang, counts) for lang in model.langs]
+        want = [ppm_bits(probe.encode(), counts[lang]) for lang in model.langs]
         assert np.allclose(model.score(probe.encode()), want, rtol=1e-4)
+    for lang in texts:  # code lengths are exact: the shares of all bytes after any context sum to one
+        for context in (b"\n\n\n", b"the", b"und", b"zzz", b" th", "zè".encode()):
+            assert sum(ppm_share(context, b, counts[lang]) for b in range(256)) == 1
+    every = np.array([int.from_bytes(c + bytes([b]), "big") for c in (b"the", b"zzh", b"der") for b in range(256)], "u4")
+    lengths = langid.code_lengths([{name: model._load(f"{name}-{size}") for name in langid.NAMES} for size in range(4)], every, len(model.langs))
+    assert np.allclose(np.exp2(-lengths).reshape(3, 256, -1).sum(1), 1)
     asked = spark.createDataFrame([(1, "the other cat", True), (2, None, False), (3, "123 !!", True), (4, "der andere hund", True), (5, "", True)], "doc_id long, text string, held_out boolean")
     got = {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()}
     assert got == {1: "en", 2: "und", 3: "und", 4: "de", 5: "und"}
