@@ -4,9 +4,9 @@ Distinct fingerprints are joined to themselves: two nodes of a binary trie at th
 visited together with the number of bits in which their paths differ, and a pair of nodes is left as
 soon as that number exceeds the error budget. To deal the work out, the bits are cut into blocks, more
 than the budget: two fingerprints within the budget agree in all but so many blocks, so they meet in
-the group of one choice of blocks. A large group is cut into chunks by a hash, and each pair of chunks
-is a trie join of its own. Joins report links of a spanning forest of what they have linked, never all
-pairs of a group.
+the group of one choice of blocks. A group that many share is dealt out again, by blocks of the bits that
+are still free; one that stays large is cut into chunks by a hash, and each pair of chunks is a trie join
+of its own. Joins report links of a spanning forest of what they have linked, never all pairs of a group.
 
 Components come from rounds of star contraction over those links, each a pair of aggregations.
 
@@ -27,11 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import held
+from groundspark.llm.common import held, join_once
 
 BITS = 64
 CHUNK = 1000
-LEAF = 32
+#: Groups of more chunks are dealt out again.
+DEAL = 16
+#: Nodes of so few values are compared outright.
+LEAF = 4
 #: MinHash bands and values a band: of pairs with Jaccard 0.8 all but 1 - (1 - 0.8 ** 5) ** 32, some 3 in a million, share a band.
 BANDS, BAND_ROWS = 32, 5
 _ODD = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -171,6 +174,18 @@ def _join_chunks(errors: int):
     return run
 
 
+def _long(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> BITS - 1 else mask
+
+
+def choices(taken: int, blocks: int, errors: int) -> list[int]:
+    """Masks of `taken` and all but `errors` blocks of the other bits: in one of them any two values that agree in taken and are within the budget agree."""
+    free = [1 << b for b in range(BITS) if not taken >> b & 1]
+    ends = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(free[a:z]) for a, z in zip(ends, ends[1:])]
+    return [taken | sum(c) for c in combinations(parts, blocks - errors)]
+
+
 def block_masks(n: int, errors: int) -> list[int]:
     """Masks, as longs, of the choices of blocks in one of which any two values within the budget agree.
 
@@ -179,23 +194,33 @@ def block_masks(n: int, errors: int) -> list[int]:
     blocks = errors + 1
     while n > CHUNK * 2 ** (BITS * (blocks - errors) // blocks - 2) and comb(blocks + 1, errors) <= 100:
         blocks += 1
-    ends = [BITS * i // blocks for i in range(blocks + 1)]
-    parts = [(1 << z) - (1 << a) for a, z in zip(ends, ends[1:])]
-    masks = [sum(c) for c in combinations(parts, blocks - errors)]
-    return [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
+    return [_long(m) for m in choices(0, blocks, errors)]
 
 
 def links(distinct: DataFrame, errors: int = 4) -> DataFrame:
     """u, v: links that connect whatever fingerprints within `errors` bits connect. distinct: fp (long), each once."""
+    spark = distinct.sparkSession
     masks = block_masks(distinct.count(), errors)
-    options = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("head")) for i, m in enumerate(masks)])
-    rows = distinct.select("fp", F.explode(options).alias("o")).select("o.i", "o.head", "fp")
-    sizes = rows.groupBy("i", "head").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
-    chunked = rows.join(sizes, ["i", "head"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    # A chunk goes to each pair of chunks that it is in.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
-    tasks = chunked.select("i", "head", "fp", "chunk", F.explode(pairs).alias("p")).select("i", "head", "p.a", "p.b", "fp", "chunk")
-    return tasks.groupBy("i", "head", "a", "b").applyInArrow(_join_chunks(errors), "u long, v long")
+    rows = distinct.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("head", F.col("fp").bitwiseAND(F.col("mask")))
+    found = None
+    while True:
+        sizes = held(rows.groupBy("mask", "head").agg(F.count("*").alias("n")).where("n > 1"))
+        last = max(bin(m & (1 << BITS) - 1).count("1") for m in masks) >= BITS - 2 * errors
+        chunked = held(join_once(rows, sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), ["mask", "head"]))
+        now = chunked if last else chunked.where(F.col("chunks") <= DEAL)
+        now = now.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        # A chunk goes to each pair of chunks that it is in.
+        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
+        tasks = now.select("mask", "head", "fp", "chunk", F.explode(pairs).alias("p")).select("mask", "head", "p.a", "p.b", "fp", "chunk")
+        joined = tasks.groupBy("mask", "head", "a", "b").applyInArrow(_join_chunks(errors), "u long, v long")
+        found = joined if found is None else found.unionByName(joined)
+        large = chunked.where(F.col("chunks") > DEAL)
+        if last or large.isEmpty():
+            return found
+        finer = {m: [_long(x) for x in choices(m & (1 << BITS) - 1, errors + 2, errors)] for m in masks}
+        table = spark.createDataFrame([(m, x) for m, xs in finer.items() for x in xs], "mask long, finer long")
+        rows = large.select("fp", "mask").join(F.broadcast(table), "mask").select("fp", F.col("finer").alias("mask")).distinct().withColumn("head", F.col("fp").bitwiseAND(F.col("mask")))
+        masks = [x for xs in finer.values() for x in xs]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -259,8 +284,8 @@ def alike(docs: DataFrame, prints: DataFrame, words: int, least: float) -> DataF
     equal = prints.select("set", F.col("fp").alias("v")).distinct().join(sets.select("set", F.col("fp").alias("u")), "set").where("u <> v").select("u", "v")
     keyed = sets.select("set", "fp", F.posexplode("bands").alias("i", "head"))
     sizes = keyed.groupBy("i", "head").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("members")).where("n > 1")
-    once = sizes.groupBy("n", "members").agg(F.min(F.struct("i", "head")).alias("b")).select("b.i", "b.head", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    chunked = held(keyed.join(once, ["i", "head"]).withColumn("chunk", F.pmod(F.xxhash64("fp", "set"), F.col("chunks")).cast("int")))
+    once = sizes.groupBy("n", "members").agg(F.min(F.struct("i", "head")).alias("b")).select("b.i", "b.head", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    chunked = held(join_once(keyed, once, ["i", "head"]).withColumn("chunk", F.pmod(F.xxhash64("fp", "set"), F.col("chunks")).cast("int")))
     asked = chunked.select("set").distinct().join(sets, "set").select(F.col("text_hash").alias("its_hash")).distinct()
     texts = docs.select(F.xxhash64("text").alias("its_hash"), F.col("text").cast("string").alias("text")).join(asked, "its_hash", "left_semi").dropDuplicates(["its_hash"])
     hashes = texts.select("text").mapInArrow(_shingle_sets(words), "set long, hashes binary")
@@ -273,16 +298,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of u-v edges: root is the smallest node reachable.
 
     Rounds of large and small stars until nothing changes; each node's smallest neighbour comes from a
-    pre-aggregated minimum, so a node with many edges is no task of its own.
+    pre-aggregated minimum and goes back to its edges by `join_once`, so a node with many edges is no task
+    of its own.
     """
     now = held(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = held(join_once(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_once(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = held(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == was:
@@ -296,15 +322,15 @@ def near_rows(docs: DataFrame, words: int = 4, errors: int = 4, least: float | N
     least: rows whose shingle sets have at least that Jaccard similarity are linked too.
     """
     prints = held(fingerprints(docs, words, least is not None))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = held(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     found = links(distinct.select("fp"), errors)
     if least is not None:
         found = found.unionByName(alike(docs, prints, words, least))
     roots = held(components(found))
-    labelled = held(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(smallest, "root").select(F.col("fp").alias("its_fp"), "root", "component_id")
-    return prints.join(by_fp, F.col("fp") == F.col("its_fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
+    labelled = held(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rows", "least", F.coalesce("root", "fp").alias("root")))
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_fp = join_once(labelled.select("fp", "rows", "root"), smallest, ["root"])
+    return join_once(prints.select("doc_id", "text_hash", "fp"), by_fp.select("fp", "root", "component_id", F.col("rows").alias("n")), ["fp"])
 
 
 def near_groups(docs: DataFrame, words: int = 4, errors: int = 4) -> DataFrame:
