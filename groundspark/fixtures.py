@@ -37,7 +37,7 @@ PAS|TT0101|PV|Zone 1 temperature|DEG_C|Temperature|0|100|r|measurement|60|||72
 PAS|TIC0101|SP|Zone 1 temperature setpoint|DEG_C|Temperature|20|95|rw|setpoint|||1|72
 PAS|PT0102|PV|Outlet pressure|BAR|Pressure|0|10|r|measurement||8||3.1
 PAS|PU0103|PV|Accumulated pasteurisation units|UNITLESS|Count|0|60|r|kpi|15|||22.4
-FIL|PT0301|PV|Outlet pressure|BAR|Pressure|0|6|r|measurement||4.98||3
+FIL|PT0301|PV|Outlet pressure|BAR|Pressure|0|6|r|measurement||4.9799999999999995||3
 FIL|PIC0301|SP|Fill pressure setpoint|BAR|Pressure|0.5|4.5|rw|setpoint||||2.52
 FIL|TT0302|PV|Product temperature|DEG_C|Temperature|-5|40|r|measurement||8||4
 FIL|FT0303|PV|Product flow|L-PER-MIN|VolumeFlowRate|0|400|r|measurement||||180
@@ -247,9 +247,37 @@ def tables() -> dict[str, tuple[str, list[tuple]]]:
     }
 
 
-def frame(spark: SparkSession, name: str) -> DataFrame:
+@lru_cache(maxsize=None)
+def _select(name: str) -> str:
+    """The table as a SELECT of Spark SQL, whose rows the optimizer knows."""
     schema, rows = tables()[name]
-    return spark.createDataFrame(rows, schema)
+    columns = [c.split(" ") for c in schema.split(", ")]
+
+    def literal(v, kind: str) -> str:
+        if v is None:
+            return f"CAST(NULL AS {kind})"
+        text = v if isinstance(v, str) else repr(v)
+        quoted = "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return quoted if kind == "string" else f"CAST({quoted} AS {kind})"
+
+    body = ", ".join("(" + ", ".join(literal(v, k) for v, (_, k) in zip(r, columns, strict=True)) + ")" for r in rows)
+    return f"SELECT * FROM VALUES {body} AS t({', '.join(f'`{c}`' for c, _ in columns)})"
+
+
+def frame(spark: SparkSession, name: str) -> DataFrame:
+    return spark.sql(_select(name))
+
+
+class Plant:
+    """The plant's tables as attributes (assets, signals, feeds, ...); any of them may be replaced to ask what if."""
+
+    def __init__(self, spark: SparkSession, **replaced: DataFrame):
+        self.spark, self._replaced = spark, replaced
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self._replaced[name] if name in self._replaced else frame(self.spark, name)
 
 
 def values_sql(*names: str) -> str:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import search_tokens
+from groundspark.operators.joins import join_once, small
+from groundspark.session import checkpointed
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -16,37 +18,66 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def weights(counts: DataFrame, frequency: DataFrame, n_docs: Column, key: str) -> DataFrame:
-    """key, term, w: (1 + ln n) * idf over the norm; terms that the corpus lacks have idf 1."""
-    idf = F.coalesce(F.log((n_docs + 1) / (F.col("df") + 1)) + 1, F.lit(1.0))
-    raw = counts.join(frequency, "term", "left").withColumn("r", (1 + F.log("n")) * idf)
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("r") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
+def _tf() -> Column:
+    return 1 + F.log("n")
+
+
+def _idf() -> Column:
+    return F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
 
 
 def rank(docs: DataFrame, doc_key: str, doc_text: str, queries: DataFrame, query_key: str, query_text: str, k: int) -> DataFrame:
-    """query, document, score, rank: the k documents of highest cosine, above 0, ties by document."""
-    counts = term_counts(docs, doc_key, doc_text)
+    """query, document, score, rank: the k documents of highest cosine, above 0, ties by document.
+
+    Common terms meet their frequency by a bounded broadcast. The queries' terms are broadcast too if they
+    are few; documents meet queries only through terms that are asked for.
+    """
+    counts = checkpointed(term_counts(docs, doc_key, doc_text))
     asked = term_counts(queries, query_key, query_text)
-    # Documents only count with terms that are asked for; their norms need all their terms.
     n_docs = docs.agg(F.count("*").alias("n_docs"))
-    frequency = document_frequency(counts).join(F.broadcast(n_docs), F.lit(True))
-    raw = counts.join(frequency, "term").withColumn("r", (1 + F.log("n")) * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1))
+    frequency = checkpointed(document_frequency(counts).join(F.broadcast(n_docs), F.lit(True)))
+    raw = join_once(counts, frequency.withColumn("places", F.col("df")), ["term"], "places").withColumn("r", _tf() * _idf()).select(doc_key, "term", "r")
+    wq = asked.join(frequency, "term", "left").withColumn("rq", _tf() * F.coalesce(_idf(), F.lit(1.0)))
+    wq = wq.withColumn("nq", F.sqrt(F.sum(F.col("rq") * F.col("rq")).over(Window.partitionBy(query_key)))).select(query_key, "term", (F.col("rq") / F.col("nq")).alias("wq"))
+    # One aggregate gives a document's norm over all its terms; a second one, over asked terms only, the products.
     norms = raw.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
-    wq = asked.join(frequency, "term", "left").withColumn("rq", (1 + F.log("n")) * F.coalesce(F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1, F.lit(1.0)))
-    wq = wq.join(wq.groupBy(query_key).agg(F.sqrt(F.sum(F.col("rq") * F.col("rq"))).alias("nq")), query_key).select(query_key, "term", (F.col("rq") / F.col("nq")).alias("wq"))
-    dots = raw.join(wq, "term").groupBy(query_key, doc_key).agg(F.sum(F.col("r") * F.col("wq")).alias("dot"))
+    dots = raw.join(small(wq), "term").groupBy(query_key, doc_key).agg(F.sum(F.col("r") * F.col("wq")).alias("dot"))
     scored = dots.join(norms, doc_key).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where("score > 0")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_key, doc_key, "score", "rank")
 
 
+def rank_within(members: DataFrame, counts: DataFrame, asked: DataFrame, query_key: str, doc_key: str) -> DataFrame:
+    """query, document, score (above 0): cosine of each query with the documents of a corpus of its own.
+
+    members: query and document; counts: document, term, n; asked: query, term, n. Weights are relative to
+    each query's corpus, so a corpus is a neighbourhood of some hundred documents, not a table.
+    """
+    n_docs = members.groupBy(query_key).agg(F.count("*").alias("n_docs"))
+    rows = members.join(counts, doc_key).join(n_docs, query_key)
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy(query_key, "term"))).withColumn("r", _tf() * _idf())
+    rows = rows.withColumn("norm", F.sqrt(F.sum(F.col("r") * F.col("r")).over(Window.partitionBy(query_key, doc_key))))
+    frequency = rows.select(query_key, "term", "df", "n_docs").distinct()
+    wq = asked.join(frequency, [query_key, "term"], "left").withColumn("rq", _tf() * F.coalesce(_idf(), F.lit(1.0)))
+    wq = wq.withColumn("nq", F.sqrt(F.sum(F.col("rq") * F.col("rq")).over(Window.partitionBy(query_key)))).select(query_key, "term", (F.col("rq") / F.col("nq")).alias("wq"))
+    dots = rows.join(wq, [query_key, "term"]).groupBy(query_key, doc_key).agg((F.sum(F.col("r") * F.col("wq")) / F.first("norm")).alias("score"))
+    return dots.withColumn("score", F.round("score", 9)).where("score > 0")
+
+
 def pack_greedily(items: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
     """group, used, taken (orders, ascending): items in order, each that still fits; those that do not are skipped.
 
     A group's items meet in one row: a candidate list of a question, not a corpus.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    fold = lambda acc, x: F.when(acc["used"] + x["c"] <= budget, F.struct((acc["used"] + x["c"]).alias("used"), F.concat(acc["taken"], F.array(x["o"].cast("long"))).alias("taken"))).otherwise(acc)
-    return items.groupBy(group).agg(F.aggregate(rows, start, fold).alias("p")).select(group, "p.used", F.array_join("p.taken", ",").alias("taken"))
+    return fitted(items, [group], order, cost, F.lit(budget)).select(group, "used", F.array_join("taken", ",").alias("taken"))
+
+
+def fitted(items: DataFrame, by: list[str], order: str, cost: str, limit: Column, start: Column | None = None) -> DataFrame:
+    """by, used, taken (array of orders): as pack_greedily, with a limit (null: none) and a start cost that are the same for all items of a group."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(cost).cast("long").alias("c"))))
+    begun = F.first(F.coalesce(start, F.lit(0)).cast("long") if start is not None else F.lit(0).cast("long"))
+    whole = items.groupBy(*by).agg(rows.alias("rows"), begun.alias("begun"), F.first(limit.cast("long")).alias("most"))
+    first = F.struct(F.col("begun").alias("used"), F.array().cast("array<bigint>").alias("taken"))
+    fits = lambda acc, x: F.col("most").isNull() | (acc["used"] + x["c"] <= F.col("most"))
+    fold = lambda acc, x: F.when(fits(acc, x), F.struct((acc["used"] + x["c"]).alias("used"), F.concat(acc["taken"], F.array(x["o"])).alias("taken"))).otherwise(acc)
+    return whole.select(*by, F.aggregate("rows", first, fold).alias("p")).select(*by, "p.used", "p.taken")
