@@ -261,7 +261,7 @@ def _select(name: str) -> str:
         return quoted if kind == "string" else f"CAST({quoted} AS {kind})"
 
     body = ", ".join("(" + ", ".join(literal(v, k) for v, (_, k) in zip(r, columns, strict=True)) + ")" for r in rows)
-    return f"SELECT * FROM VALUES {body} AS t({', '.join(f'`{c}`' for c, _ in columns)})"
+    return f"SELECT * FROM VALUES {body} AS _fixed({', '.join(f'`{c}`' for c, _ in columns)})"
 
 
 def frame(spark: SparkSession, name: str) -> DataFrame:

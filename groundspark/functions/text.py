@@ -53,9 +53,9 @@ def normalized_title(title: Column) -> Column:
 
 def first_author(authors: Column) -> Column:
     """Surname of the first author: before the comma, or the last word."""
-    first = F.try_element_at(authors, F.lit(1))
+    first = F.trim(F.try_element_at(authors, F.lit(1)))
     surname = F.when(first.contains(","), F.split_part(first, F.lit(","), F.lit(1))).otherwise(F.element_at(F.split(F.trim(first), r"\s+"), -1))
-    return F.coalesce(ascii_title(surname), F.lit(""))
+    return F.coalesce(normalized_title(surname), F.lit(""))
 
 
 def year_of(text: Column) -> Column:
@@ -110,8 +110,8 @@ def general_format(value: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity as difflib gives it, rounded half to even to four places."""
-    return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 4) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Ratcliff-Obershelp similarity as difflib gives it, not rounded; thresholds are asked before any rounding."""
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def positions_to_text(index: Column) -> Column:

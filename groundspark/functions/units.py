@@ -10,7 +10,8 @@ from groundspark.fixtures import frame
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """unit, symbol, quantity_kind, multiplier, shift, aliases, dim (the exponents as text)."""
-    return frame(spark, "units").join(F.broadcast(frame(spark, "quantity_kinds")), "quantity_kind")
+    kinds = frame(spark, "quantity_kinds").select(F.col("quantity_kind").alias("kind"), "dim")
+    return frame(spark, "units").join(F.broadcast(kinds), F.col("quantity_kind") == F.col("kind")).drop("kind")
 
 
 def tokens(spark: SparkSession) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.fixtures import frame
+from groundspark.fixtures import ANYWHERE, COMMANDS, frame
 from groundspark.session import checkpointed
 
 MAX_PLAN = 12
@@ -16,9 +16,21 @@ def legal(spark: SparkSession) -> DataFrame:
 
 
 def step(asked: DataFrame) -> DataFrame:
-    """asked (state, command) with allowed, next_state and settled; unknown names are not allowed."""
-    moves = F.broadcast(frame(asked.sparkSession, "transitions"))
-    return asked.join(moves, ["state", "command"], "left").withColumn("allowed", F.col("next_state").isNotNull())
+    """asked (state, command) with allowed, next_state, settled and reason; unknown names are not allowed."""
+    c, spark = F.col, asked.sparkSession
+    moves = F.broadcast(frame(spark, "transitions"))
+    joined = asked.join(moves, ["state", "command"], "left").withColumn("allowed", c("next_state").isNotNull())
+    known = frame(spark, "states").join(F.broadcast(legal(spark)), "state", "left").select("state", F.coalesce("commands", F.lit("")).alias("commands"))
+    joined = joined.join(F.broadcast(known), "state", "left").withColumn("known", c("command").isin(COMMANDS))
+    text = F.format_string
+    reason = (
+        F.when(c("commands").isNull(), text("unknown state '%s'", "state"))
+        .when(~c("known"), text("unknown PackML command '%s'", "command"))
+        .when(c("allowed"), text("%s --%s--> %s", "state", "command", "next_state"))
+        .when(c("command").isin(list(ANYWHERE)), text("%s is not accepted in state %s", "command", "state"))
+        .otherwise(text("%s is illegal in state %s; legal commands are %s", "command", "state", F.replace("commands", F.lit(","), F.lit(", "))))
+    )
+    return joined.withColumn("reason", reason).drop("commands", "known")
 
 
 def plans(spark: SparkSession) -> DataFrame:

@@ -2,66 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions import text
 from groundspark.operators import graph
+from groundspark.session import checkpointed
 
-#: Sources by preference, told by how their names begin.
-PREFERRED = ("crossref", "openalex", "semantic", "arxiv")
+# Sources by preference, told by how their names begin.
+PREFERRED = ["ieee", "scopus", "wos", "acm", "sciencedirect", "springer", "openalex", "semanticscholar", "arxiv"]
+#: Each step of length is so many times the one before.
+STEP = 1.16
 
 
 def keyed(records: DataFrame) -> DataFrame:
-    """records with ord (by source, id, title), norm_title and author."""
-    order = Window.orderBy("source", "source_id", "title")
-    return records.withColumn("ord", F.row_number().over(order).cast("long")).withColumn("norm_title", text.normalized_title(F.col("title"))).withColumn("author", text.first_author(F.col("authors")))
+    """records with ord (rising in the order of the input, not gapless), norm_title and author (null where none is named)."""
+    author = F.when(F.size("authors") > 0, text.first_author(F.col("authors")))
+    rows = records.withColumn("ord", F.monotonically_increasing_id()).withColumn("norm_title", text.normalized_title(F.coalesce("title", F.lit("")))).withColumn("author", author)
+    return checkpointed(rows)
 
 
 def same_work(rows: DataFrame) -> DataFrame:
-    """src, dst: records of one DOI are tied to its first; records of one title if their DOIs, years and authors agree or are missing.
+    """src, dst: links that connect records of one DOI, and records of one title whose DOIs, years and authors agree or are missing.
 
-    Titles are joined within a block of title and author (or none), so a common title alone makes no group.
+    Records of a DOI, and those of a title that have the same DOI, year and author, are tied to the first of
+    them. Further links of a title need one side without a DOI; sides meet by author (or for want of one), so
+    a title that many unrelated works share makes no pairs of all of them.
     """
-    doi = rows.where("doi is not null").groupBy("doi").agg(F.min("ord").alias("dst")).join(rows.select("doi", F.col("ord").alias("src")), "doi").select("src", "dst")
-    side = lambda x: rows.where("norm_title <> ''").select("norm_title", *[F.col(c).alias(f"{x}_{c}") for c in ("ord", "doi", "year", "author")])
-    a, b = side("a"), side("b")
-    agree = (F.col("a_ord") > F.col("b_ord")) & ~F.coalesce(F.col("a_doi") != F.col("b_doi"), F.lit(False)) & F.coalesce(F.abs(F.col("a_year") - F.col("b_year")) <= 1, F.lit(True)) & ((F.col("a_author") == F.col("b_author")) | (F.col("a_author") == "") | (F.col("b_author") == ""))
-    title = a.join(b, "norm_title").where(agree).select(F.col("a_ord").alias("src"), F.col("b_ord").alias("dst"))
-    return doi.unionByName(title)
+    c = F.col
+    doi = rows.where("doi is not null").groupBy("doi").agg(F.min("ord").alias("dst")).join(rows.select("doi", c("ord").alias("src")), "doi").select("src", "dst")
+    kinds = ["norm_title", "doi", "year", "author"]
+    titled = rows.where("norm_title <> ''").select("ord", F.struct(*kinds).alias("kind"))
+    first = checkpointed(titled.groupBy("kind").agg(F.min("ord").alias("dst")))
+    alike = titled.join(first, "kind").select(c("ord").alias("src"), "dst")
+    # A named author meets the same one and none; no author meets all.
+    named, nobody, anybody = F.concat(F.lit("="), c("kind.author")), F.lit(""), F.lit("*")
+    side = lambda x, keys: first.select(c("kind.norm_title").alias("title"), F.explode(keys).alias("key"), c("dst").alias(f"{x}_ord"), c("kind.doi").alias(f"{x}_doi"), c("kind.year").alias(f"{x}_year"))
+    a = side("a", F.when(c("kind.author").isNull(), F.array(anybody)).otherwise(F.array(named, nobody))).where("a_doi is null")
+    b = side("b", F.array(F.coalesce(named, nobody), anybody))
+    near = F.coalesce(F.abs(c("a_year") - c("b_year")) <= 1, F.lit(True))
+    across = a.join(b, ["title", "key"]).where(near & (c("a_ord") != c("b_ord"))).select(F.greatest("a_ord", "b_ord").alias("src"), F.least("a_ord", "b_ord").alias("dst"))
+    return doi.unionByName(alike).unionByName(across).where("src <> dst").distinct()
 
 
 def merged(records: DataFrame) -> DataFrame:
-    """One row a work: title, year, doi, abstract, peer_reviewed, sources and ids (sorted), n; first by peer review, source and length of abstract."""
-    rows = keyed(records)
+    """One row a work: record_id, title, year, authors, doi, venue, abstract, url, work_type, peer_reviewed, sources, ids, query_families (sorted), n, norm_title, ord.
+
+    records: source, source_id, the other fields of a record and, if there is one, query_family. A work's own
+    fields are those of its first record by peer review, source and length of abstract; DOI and abstract
+    come from the first that has one. Rows are in the order of year (none first) and normalised title.
+    """
+    c = F.col
+    rows = keyed(records if "query_family" in records.columns else records.withColumn("query_family", F.lit(None).cast("string")))
     roots = graph.components(same_work(rows))
-    rows = rows.join(roots, F.col("ord") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "ord"))
+    rows = rows.join(roots, c("ord") == c("node"), "left").withColumn("cluster", F.coalesce("root", "ord")).withColumn("record_id", F.concat_ws(":", "source", "source_id"))
     place = F.coalesce(*[F.when(F.startswith(F.lower("source"), F.lit(p)), i) for i, p in enumerate(PREFERRED)], F.lit(len(PREFERRED)))
-    key = F.struct((F.col("peer_reviewed") != "yes").alias("a"), place.alias("b"), (-F.length(F.coalesce("abstract", F.lit("")))).alias("c"), "ord")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(c)
-    out = rows.groupBy("cluster").agg(F.min_by("title", key).alias("title"), F.min_by("year", key).alias("year"), first("doi"), first("abstract"), F.when(F.bool_or(F.col("peer_reviewed") == "yes"), "yes").otherwise("unknown").alias("peer_reviewed"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("source_id")).alias("ids"), F.count("*").alias("n"))
-    return out.orderBy(F.coalesce("year", F.lit(0)), "title")
-
-
-def uncertain(records: DataFrame, least: float = 0.93) -> DataFrame:
-    """a, b, ratio: titles of one year and first word, not of different DOIs, that are alike without being equal."""
-    rows = keyed(records).where("norm_title <> ''").withColumn("word", F.split_part("norm_title", F.lit(" "), F.lit(1)))
-    a = rows.select(F.coalesce("year", F.lit(0)).alias("y"), "word", F.col("norm_title").alias("ta"), F.col("source_id").alias("a"), F.col("ord").alias("oa"), F.col("doi").alias("da"))
-    b = rows.select(F.coalesce("year", F.lit(0)).alias("y"), "word", F.col("norm_title").alias("tb"), F.col("source_id").alias("b"), F.col("ord").alias("ob"), F.col("doi").alias("db"))
-    pairs = a.join(b, ["y", "word"]).where((F.col("oa") < F.col("ob")) & (F.col("ta") != F.col("tb")) & ~F.coalesce(F.col("da") != F.col("db"), F.lit(False)))
+    key = F.struct(F.coalesce(c("peer_reviewed") != "yes", F.lit(True)).alias("a"), place.alias("b"), (-F.length(F.coalesce("abstract", F.lit("")))).alias("c"), "ord")
+    own = F.min_by(F.struct("record_id", "title", "year", "authors", "venue", "url", "work_type", "peer_reviewed", "norm_title", "ord"), key).alias("own")
+    first = lambda x: F.min_by(x, F.when(F.coalesce(c(x), F.lit("")) != "", key)).alias(x)
+    sets = [F.array_sort(F.collect_set(x)).alias(name) for x, name in (("source", "sources"), (F.nullif("query_family", F.lit("")), "query_families"))]
+    out = rows.groupBy("cluster").agg(own, first("doi"), first("abstract"), F.bool_or(c("peer_reviewed") == "yes").alias("reviewed"), F.array_sort(F.collect_list("record_id")).alias("ids"), *sets, F.count("*").alias("n"))
+    whole = out.select("own.*", "doi", "abstract", "ids", "sources", "query_families", "n", F.when(c("reviewed"), "yes").otherwise(c("own.peer_reviewed")).alias("reviewed")).withColumn("peer_reviewed", c("reviewed")).drop("reviewed")
+    return whole.orderBy(F.coalesce("year", F.lit(0)), "norm_title", "ord")
+
+
+def uncertain(works: DataFrame, least: float = 0.93) -> DataFrame:
+    """a, b (record ids), ratio (three places): merged works of one year and first word, not of different DOIs, whose titles are alike.
+
+    Titles of equal length steps or neighbouring ones are compared, which loses no pair of 0.86 or more. Of
+    works with one and the same title (also an empty one) each is paired with the first.
+    """
+    c = F.col
+    rows = works.select(F.coalesce(c("year").cast("string"), F.lit("")).alias("y"), F.split_part("norm_title", F.lit(" "), F.lit(1)).alias("word"), "norm_title", "record_id", "doi", "ord")
+    rows = checkpointed(rows.withColumn("step", F.floor(F.log(F.length("norm_title") + 1.0) / math.log(STEP))))
+    apart = ~F.coalesce(c("da") != c("db"), F.lit(False))
+    side = lambda x: rows.select("y", "word", "step", c("norm_title").alias(f"t{x}"), c("record_id").alias(x), c("ord").alias(f"o{x}"), c("doi").alias(f"d{x}"))
+    a, b = side("a"), side("b")
+    first = rows.groupBy("y", "word", "norm_title").agg(F.min_by(F.struct("record_id", "doi", "ord"), "ord").alias("f"))
+    equal = rows.join(first, ["y", "word", "norm_title"]).select(c("f.record_id").alias("a"), c("record_id").alias("b"), c("f.doi").alias("da"), c("doi").alias("db"), c("f.ord").alias("oa"), c("ord").alias("ob")).where((c("oa") != c("ob")) & apart)
     # No ratio can exceed twice the shorter length over the sum of both.
-    near = pairs.where(2 * F.least(F.length("ta"), F.length("tb")) >= least * (F.length("ta") + F.length("tb")))
-    return near.withColumn("ratio", text.sequence_ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    close = 2 * F.least(F.length("ta"), F.length("tb")) >= least * (F.length("ta") + F.length("tb"))
+    pairs = a.withColumn("step", F.explode(F.array(*[c("step") + k for k in (-1, 0, 1)]))).join(b, ["y", "word", "step"]).where((c("ta") < c("tb")) & apart & close)
+    alike = pairs.withColumn("ratio", text.sequence_ratio("ta", "tb")).where(c("ratio") >= least)
+    return equal.select("a", "b", F.lit(1.0).alias("ratio")).unionByName(alike.select("a", "b", F.bround("ratio", 3).alias("ratio")))
 
 
 def screened(records: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """records with reason: the first rule, by name, that title and abstract do not match; null if all do."""
+    """records with reason: the first rule, by name, that title and abstract do not match; null if all do. Rules are those named A and a digit."""
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
-    return records.withColumn("reason", F.coalesce(*[F.when(~body.rlike(f"(?i){pattern}"), name) for name, pattern in sorted(rules.items())]))
+    used = {name: pattern for name, pattern in sorted(rules.items()) if name[:1] == "A" and name[1:2].isdigit()}
+    reasons = [F.when(~body.rlike(f"(?i){pattern}"), name) for name, pattern in used.items()]
+    return records.withColumn("reason", F.coalesce(*reasons, F.lit(None).cast("string")))
 
 
-def kept_decisions(sheet: DataFrame, old: DataFrame, key: str, human: list[str]) -> DataFrame:
-    """sheet with the human columns of an older one wherever those are filled in."""
-    before = old.select(key, *[F.nullif(F.trim(c), F.lit("")).alias(f"old_{c}") for c in human])
+def kept_decisions(sheet: DataFrame, old: DataFrame, key: str, human: list[str], sticky: tuple[str, ...] = ("double_code",)) -> DataFrame:
+    """sheet with the human columns of an older one wherever those are filled in; sticky columns keep what the older one has."""
+    human = [c for c in human if c in old.columns]
+    stuck = [c for c in sticky if c in old.columns and c in sheet.columns]
+    before = old.dropDuplicates([key]).select(key, *[F.nullif(F.trim(c), F.lit("")).alias(f"old_{c}") for c in human], *[F.col(c).alias(f"old_{c}") for c in stuck if c not in human])
     joined = sheet.join(before, key, "left")
-    return joined.select(*[F.coalesce(f"old_{c}", c).alias(c) if c in human else F.col(c) for c in sheet.columns])
+    return joined.select(*[F.coalesce(f"old_{c}", c).alias(c) if c in human or c in stuck else F.col(c) for c in sheet.columns])

@@ -117,11 +117,13 @@ def p_legal_commands(spark, sf_dir):
     return fsm.legal(spark)
 
 
-@query(f"""{WITH('states', 'commands', 'transitions')} SELECT s.state, c.command, t.next_state IS NOT NULL AS allowed, t.next_state, t.settled
+@query(f"""{WITH('states', 'commands', 'transitions')} SELECT s.state, c.command, t.next_state IS NOT NULL AS allowed, t.next_state, t.settled,
+CASE WHEN t.next_state IS NOT NULL THEN s.state || ' --' || c.command || '--> ' || t.next_state WHEN c.command IN ('Stop', 'Abort') THEN c.command || ' is not accepted in state ' || s.state
+ELSE c.command || ' is illegal in state ' || s.state || '; legal commands are ' || coalesce((SELECT string_agg(x.command, ', ' ORDER BY x.command) FROM transitions x WHERE x.state = s.state), '') END AS reason
 FROM states s CROSS JOIN commands c LEFT JOIN transitions t ON t.state = s.state AND t.command = c.command""")
 def p_fsm_step(spark, sf_dir):
     asked = frame(spark, "states").join(F.broadcast(frame(spark, "commands")), F.lit(True))
-    return fsm.step(asked).select("state", "command", "allowed", "next_state", "settled")
+    return fsm.step(asked).select("state", "command", "allowed", "next_state", "settled", "reason")
 
 
 @query(f"""{WITH('states', 'transitions')}, walk(start, goal, length, plan) AS (SELECT state, state, 0, '' FROM states UNION

@@ -215,7 +215,7 @@ def t_fuzzy_pairs(spark, sf_dir):
     d = d.withColumn("step", F.floor(F.log(F.length("title").cast("double")) / math.log(1.16)))
     a, b = d.toDF("lang", "title_a", "a", "block", "step"), d.toDF("lang", "title_b", "b", "block", "step")
     a = a.withColumn("step", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])))
-    return a.join(b, ["lang", "block", "step"]).where("a < b and abs(length(title_a) - length(title_b)) <= 0.08 * (length(title_a) + length(title_b))").withColumn("ratio", text.sequence_ratio("title_a", "title_b")).where("ratio >= 0.93").select("a", "b", "ratio")
+    return a.join(b, ["lang", "block", "step"]).where("a < b and abs(length(title_a) - length(title_b)) <= 0.08 * (length(title_a) + length(title_b))").withColumn("ratio", text.sequence_ratio("title_a", "title_b")).where("ratio >= 0.93").select("a", "b", F.bround("ratio", 4).alias("ratio"))
 
 
 _PART_FACTS = """WITH r AS (SELECT 'size' AS category, p_partkey AS key, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT 'brand', p_partkey, p_brand FROM part),
