@@ -25,7 +25,7 @@ CROSSREF = """message struct<`total-results`:bigint,items:array<struct<DOI:strin
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """file, sha256, content of each page."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
 
 
 def _squeezed(c: Column) -> Column:
