@@ -190,10 +190,36 @@ Count|0 0 0 0 0 0 0
 """
 
 #: what commands do, and what states become on their own
-COMMANDS = "Reset Start Stop Hold Unhold Suspend Unsuspend Abort Clear".split()
-TRANSITIONS = "Aborted:Clear:Clearing Stopped:Reset:Resetting Complete:Reset:Resetting Idle:Start:Starting Execute:Hold:Holding Held:Unhold:Unholding Execute:Suspend:Suspending Suspended:Unsuspend:Unsuspending".split()
-SETTLES = "Clearing:Stopped Resetting:Idle Starting:Execute Holding:Held Unholding:Execute Suspending:Suspended Unsuspending:Execute Stopping:Stopped Aborting:Aborted Completing:Complete".split()
-ANYWHERE = {"Stop": ("Stopping", "Stopped Stopping Aborted Aborting Clearing".split()), "Abort": ("Aborting", "Aborted Aborting".split())}
+COMMANDS = ["Reset", "Start", "Stop", "Hold", "Unhold", "Suspend", "Unsuspend", "Abort", "Clear"]
+#: state, command, next state
+TRANSITIONS = [
+    ("Aborted", "Clear", "Clearing"),
+    ("Stopped", "Reset", "Resetting"),
+    ("Complete", "Reset", "Resetting"),
+    ("Idle", "Start", "Starting"),
+    ("Execute", "Hold", "Holding"),
+    ("Held", "Unhold", "Unholding"),
+    ("Execute", "Suspend", "Suspending"),
+    ("Suspended", "Unsuspend", "Unsuspending"),
+]
+#: state, the state it becomes on its own
+SETTLES = [
+    ("Clearing", "Stopped"),
+    ("Resetting", "Idle"),
+    ("Starting", "Execute"),
+    ("Holding", "Held"),
+    ("Unholding", "Execute"),
+    ("Suspending", "Suspended"),
+    ("Unsuspending", "Execute"),
+    ("Stopping", "Stopped"),
+    ("Aborting", "Aborted"),
+    ("Completing", "Complete"),
+]
+#: command of any state -> next state, states that do not accept it
+ANYWHERE = {
+    "Stop": ("Stopping", ["Stopped", "Stopping", "Aborted", "Aborting", "Clearing"]),
+    "Abort": ("Aborting", ["Aborted", "Aborting"]),
+}
 
 
 def _lines(text: str) -> list[list[str]]:
@@ -206,7 +232,7 @@ def _number(text: str) -> float | None:
 
 
 def states() -> list[str]:
-    named = {x for t in TRANSITIONS for x in (t.split(":")[0], t.split(":")[2])} | {x for s in SETTLES for x in s.split(":")}
+    named = {x for state, _, to in TRANSITIONS for x in (state, to)} | {x for pair in SETTLES for x in pair}
     return sorted(named)
 
 
@@ -230,8 +256,8 @@ def tables() -> dict[str, tuple[str, list[tuple]]]:
     none = lambda x: x.strip() or None
     assets = [(r[0], i, r[1], r[2], r[3], r[4], r[5], r[6], none(r[7]), r[8], bool(r[9].strip()), none(r[10]), none(r[11]), none(r[12]), none(r[13]), r[14]) for i, r in enumerate(_lines(ASSETS))]
     units = [(r[0], i, r[1], r[2], _number(r[3]), _number(r[4]), r[5]) for i, r in enumerate(_lines(UNITS))]
-    settle = dict(s.split(":") for s in SETTLES)
-    moves = [tuple(t.split(":")) for t in TRANSITIONS] + [(s, c, to) for c, (to, never) in ANYWHERE.items() for s in states() if s not in never]
+    settle = dict(SETTLES)
+    moves = list(TRANSITIONS) + [(s, c, to) for c, (to, never) in ANYWHERE.items() for s in states() if s not in never]
     return {
         "assets": ("asset_id string, ord int, name string, kind string, manufacturer string, model string, serial string, class string, parent string, level string, packml boolean, state string, services string, location string, commissioned string, criticality string", assets),
         "signals": ("tag string, asset_id string, ord int, description string, unit string, quantity_kind string, low double, high double, access string, role string, alarm_low double, alarm_high double, safety boolean, value double", _signals()),

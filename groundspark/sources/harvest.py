@@ -141,4 +141,4 @@ def write_table(rows: DataFrame, path: str, columns: list[str]) -> None:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header as texts; empty cells are empty texts, a byte order mark is no part of a name."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    return rows.toDF(*[c.lstrip("﻿") for c in rows.columns]).fillna("")
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns]).fillna("")
