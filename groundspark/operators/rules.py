@@ -103,14 +103,14 @@ def faults(rows: DataFrame) -> DataFrame:
     full = [
         _when(lacks | no_number, "F-CARD"),  # a command that is missing is none of those allowed
         _when(command & ~verb, "F-ENUM"),
-        _when(F.when(valued, unknown_tag).otherwise(~F.coalesce(c("packml"), F.lit(False))), "F-REF"),
+        _when(F.when(valued, unknown_tag).otherwise(c("asset").isNotNull() & ~F.coalesce(c("packml"), F.lit(False))), "F-REF"),
         read_only,
         _when(valued & known & (c("dim") != c("own_dim")), "F-DIM"),
         _when(write & ~c("native").between(c("low"), c("high")), "F-RANGE"),
         _when(write & c("scope").isNotNull() & ~F.array_contains("scopes", c("scope")), "F-SCOPE"),
         _when(write & _guard_fails(), "F-ILK"),
         _when(write & (moment() < F.lit(CUTOFF).cast("timestamp")), "F-STALE"),
-        _when(command & verb & c("packml") & ~F.array_contains("legal", c("command")), "F-STATE"),
+        _when(command & c("command").isNotNull() & c("packml") & c("state").isNotNull() & ~F.coalesce(F.array_contains("legal", c("command")), F.lit(False)), "F-STATE"),  # a verb that nothing knows is legal nowhere
         _when(answer & (F.abs(c("native") - c("observed")) > 0.01 * F.abs(c("observed")) + 1e-9), "F-VALUE"),
     ]
     flat = [*signature, listed, read_only, _when(write & ~c("number").between(c("low"), c("high")), "F-RANGE"), _when(valued & known & (c("unit") != c("own_unit")), "F-DIM")]
@@ -163,7 +163,7 @@ def three_valued(actions: DataFrame, world: World, removed: tuple[str, ...] = ("
     unit_ok = finite & c("unit").isNotNull()
     no_machine = command & ~F.coalesce(c("packml"), F.lit(False))
     needs = {
-        "F-DIM": can["units"] & finite, "F-RANGE": can["units"] & finite, "F-VALUE": can["units"] & can["provenance"] & finite, "F-SCOPE": can["topology"], "F-STATE": can["behaviour"], "F-STALE": can["provenance"],
+        "F-DIM": can["units"] & finite, "F-RANGE": can["units"] & finite, "F-VALUE": can["units"] & can["provenance"] & finite, "F-SCOPE": can["topology"], "F-STALE": can["provenance"],
     }
     numeric = F.coalesce(F.exists("guards", lambda g: (g["operator"] == ">=") & (g["guard_value"] < g["threshold"])), F.lit(False))
     state = F.coalesce(F.exists("guards", lambda g: F.when(g["operator"] == "state_in", ~F.array_contains(g["listed"], g["guard_state"])).when(g["operator"] == "state_not_in", F.array_contains(g["listed"], g["guard_state"])).otherwise(False)), F.lit(False))
@@ -171,9 +171,9 @@ def three_valued(actions: DataFrame, world: World, removed: tuple[str, ...] = ("
         *[_when(F.array_contains("signature", F.lit(f)), f) for f in SIGNATURE],
         _when(target & ~finite, "F-CARD"),
         _when(F.array_contains("faults", F.lit("F-ACC")), "F-ACC"),
-        _when(F.array_contains("faults", F.lit("F-REF")) | ((write | answer) & ~known), "F-REF"),
+        _when(no_machine | ((write | answer) & ~known), "F-REF"),
         *[_when(F.array_contains("faults", F.lit(f)) & ok, f) for f, ok in needs.items()],
-        # Here a verb that no state accepts is a state fault as well.
+        # A command that is missing is not legal either.
         _when(command & can["behaviour"] & c("packml") & c("state").isNotNull() & ~F.coalesce(F.array_contains("legal", c("command")), F.lit(False)), "F-STATE"),
         _when(write & known & can["constraints"] & ((numeric & can["provenance"]) | (state & can["behaviour"])), "F-ILK"),
     ]

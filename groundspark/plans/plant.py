@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundspark.fixtures import frame, values_sql
 from groundspark.functions import units
-from groundspark.operators import formats, fsm, graph, triples
+from groundspark.operators import formats, fsm, graph, naming, triples
 from groundspark.plans.registry import query
 
 #: The grid of values of the action space.
@@ -193,7 +193,7 @@ def p_naming_inconsistent(spark, sf_dir):
     bearing = s.groupBy("asset_id").agg(F.min(F.concat_ws("_", part(1), part(2))).alias("prefix")).join(frame(spark, "assets").select("asset_id", F.col("ord").alias("a_ord")), "asset_id")
     w = Window.orderBy("a_ord")
     turned = bearing.select("asset_id", F.coalesce(F.lead("prefix").over(w), F.first("prefix").over(w)).alias("to"))
-    return s.join(F.broadcast(turned), "asset_id").select("tag", F.concat_ws("_", "to", part(3), part(4)).alias("new_tag"))
+    return naming.bumped(s.join(F.broadcast(turned), "asset_id").select("tag", "ord", F.col("to").alias("head"), part(3).alias("loop"), part(4).alias("tail")))
 
 
 @query("SELECT 2465 AS triples, 2465 AS lines, 0 AS damaged")
