@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundspark.operators.joins import join_once
 from groundspark.session import checkpointed
 
 
@@ -31,15 +32,15 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, zero_hop: bool =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable either way), by star contraction until nothing changes."""
+    """node, root (the smallest node reachable either way), by star contraction until nothing changes; hubs meet their least neighbour by a bounded broadcast."""
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     now, state = checkpointed(pairs.distinct()), None
     while True:
         both = now.where("u <> v").unionByName(now.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = checkpointed(join_once(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_once(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == was:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions import stats, text
 from groundspark.operators import coverage, graph, lexical
+from groundspark.operators.joins import join_once
 from groundspark.plans.registry import query, table
 
 #: Share of the base unit that a line number's unit stands for: a unit is assigned by l_linenumber % 4.
@@ -82,10 +83,12 @@ def t_strip_tags_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
-@query("""SELECT lang, min(doc_id) AS first_id, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY lang, md5(text) HAVING count(*) > 1""")
+@query("SELECT doc_id, first_id, n FROM (SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY lang, text)) WHERE n > 1")
 def t_doc_exact_groups(spark, sf_dir):
-    groups = table(spark, sf_dir, "documents").groupBy("lang", F.md5("text").alias("key")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("ids"))
-    return groups.where("n > 1").drop("key")
+    """Documents that others of their language equal, each with the first of its group and the group's size; a group is never one row."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("lang", "text").alias("a"), F.xxhash64("text", F.lit(1), "lang").alias("b"))
+    groups = d.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return join_once(d, groups.withColumn("rows", F.col("n")), ["a", "b"], "rows").select("doc_id", "first_id", "n")
 
 
 @query(r"""WITH RECURSIVE d AS (SELECT doc_id, lang, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents),
@@ -94,8 +97,8 @@ c(u, v) AS (SELECT u, v FROM e UNION SELECT c.u, e.v FROM c JOIN e ON c.v = e.u)
 def t_doc_exact_clusters(spark, sf_dir):
     """Documents of one language whose first lines agree as titles; links go to a key's first document, so no pairs are made."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", text.ascii_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
-    first = d.where("title <> ''").groupBy("lang", "title").agg(F.min("doc_id").alias("least"))
-    edges = d.join(first, ["lang", "title"]).select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
+    first = d.where("title <> ''").groupBy("lang", "title").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    edges = join_once(d.where("title <> '' and lang is not null"), first.withColumn("n", F.col("rows")).drop("rows"), ["lang", "title"]).select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
     return d.select("doc_id").join(graph.components(edges), F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster_id"))
 
 

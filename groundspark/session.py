@@ -11,5 +11,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df in the shared folder of spark.checkpoint.dir; lineage ends there, and lost executors lose nothing."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
     return df.checkpoint(eager=True)
