@@ -10,8 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that `join_once` broadcasts at most.
-HOT = 20_000
+from groundspark.operators.joins import join_once  # noqa: F401  (the operators here use it too)
 
 #: The two kinds of characters that contracts speak of: words are runs of other characters than these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,27 +49,6 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(("s3:" if scheme in ("s3a", "s3n") else scheme + ":") + rest)
 
 
-def join_once(rows: DataFrame, once: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """rows joined by keys (without nulls) to a table with one row a key, whose column n counts the rows of that key (or is at least as large).
-
-    Keys of more than a HOTth of all rows are fewer than HOT, so they are broadcast and their rows stay where
-    they are spread; no other key gathers more than a HOTth of the rows in a task. n is not in the result.
-    """
-    once = held(once)
-    total = once.agg(F.sum(n)).first()[0] or 0
-    names = [f"_{k}" for k in keys]
-    value = F.struct(*[F.col(c) for c in once.columns if c not in (*keys, n)])
-    table = once.select(*[F.col(k).alias(x) for k, x in zip(keys, names, strict=True)], value.alias("_value"), (F.col(n) > total / HOT).alias("_hot"))
-    hot = table.where("_hot").select(*[F.col(x).alias(f"_hot{x}") for x in names], F.col("_value").alias("_hot_value"))
-    rest = table.where("not _hot").withColumn("_place", F.xxhash64(*names)).drop("_hot")
-    tried = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_hot{x}") for k, x in zip(keys, names, strict=True)], "left")
-    # Where a row of a hot key has its value already, it goes wherever its own hash says, and meets nothing there.
-    tried = tried.withColumn("_at", F.when(F.col("_hot_value").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*rows.columns)))
-    joined = tried.join(rest, [F.col("_at") == F.col("_place"), *[F.col(k) == F.col(x) for k, x in zip(keys, names, strict=True)]], "left")
-    found = joined.withColumn("_value", F.coalesce("_hot_value", "_value")).where("_value is not null")
-    return found.select(*rows.columns, "_value.*")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
