@@ -197,30 +197,40 @@ def block_masks(n: int, errors: int) -> list[int]:
     return [_long(m) for m in choices(0, blocks, errors)]
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows (fp, mask, ...) with head, n and chunks of their group of one mask and head; groups of one are left out."""
+    headed = rows.withColumn("head", F.col("fp").bitwiseAND(F.col("mask")))
+    sizes = headed.groupBy("mask", "head").agg(F.count("*").alias("n")).where("n > 1")
+    return held(join_once(headed, sizes.select("*", F.col("n").alias("size"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), ["mask", "head"]))
+
+
 def links(distinct: DataFrame, errors: int = 4) -> DataFrame:
-    """u, v: links that connect whatever fingerprints within `errors` bits connect. distinct: fp (long), each once."""
+    """u, v: links that connect whatever fingerprints within `errors` bits connect. distinct: fp (long), each once.
+
+    A group of more than DEAL chunks is dealt out again if its parts then make fewer rows than its pairs of
+    chunks do; near copies of one text agree in almost all bits, so no bits divide them.
+    """
     spark = distinct.sparkSession
     masks = block_masks(distinct.count(), errors)
-    rows = distinct.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("head", F.col("fp").bitwiseAND(F.col("mask")))
-    found = None
-    while True:
-        sizes = held(rows.groupBy("mask", "head").agg(F.count("*").alias("n")).where("n > 1"))
-        last = max(bin(m & (1 << BITS) - 1).count("1") for m in masks) >= BITS - 2 * errors
-        chunked = held(join_once(rows, sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), ["mask", "head"]))
-        now = chunked if last else chunked.where(F.col("chunks") <= DEAL)
-        now = now.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        # A chunk goes to each pair of chunks that it is in.
-        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
-        tasks = now.select("mask", "head", "fp", "chunk", F.explode(pairs).alias("p")).select("mask", "head", "p.a", "p.b", "fp", "chunk")
-        joined = tasks.groupBy("mask", "head", "a", "b").applyInArrow(_join_chunks(errors), "u long, v long")
-        found = joined if found is None else found.unionByName(joined)
-        large = chunked.where(F.col("chunks") > DEAL)
-        if last or large.isEmpty():
-            return found
-        finer = {m: [_long(x) for x in choices(m & (1 << BITS) - 1, errors + 2, errors)] for m in masks}
-        table = spark.createDataFrame([(m, x) for m, xs in finer.items() for x in xs], "mask long, finer long")
-        rows = large.select("fp", "mask").join(F.broadcast(table), "mask").select("fp", F.col("finer").alias("mask")).distinct().withColumn("head", F.col("fp").bitwiseAND(F.col("mask")))
-        masks = [x for xs in finer.values() for x in xs]
+    groups = _grouped(distinct.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")))
+    large = groups.where(F.col("chunks") > DEAL)
+    tasks = groups.select("mask", "head", "fp", "chunks")
+    if not large.isEmpty():
+        finer = spark.createDataFrame([(m, _long(x)) for m in masks for x in choices(m & (1 << BITS) - 1, errors + 2, errors)], "its_mask long, finer long")
+        again = large.select("fp", F.col("mask").alias("of_mask"), F.col("head").alias("of_head")).join(F.broadcast(finer), F.col("of_mask") == F.col("its_mask")).select("fp", "of_mask", "of_head", F.col("finer").alias("mask"))
+        parts = _grouped(again)
+        cost = parts.groupBy("of_mask", "of_head").agg(F.sum("chunks").alias("parts"))
+        whole = large.groupBy("mask", "head").agg(F.sum("chunks").alias("whole"))
+        # A group's rows are its fingerprints times its chunks, before and after.
+        divided = held(whole.join(cost, (F.col("mask") == F.col("of_mask")) & (F.col("head") == F.col("of_head")), "left").where(F.coalesce("parts", F.lit(0)) < F.col("whole")).select(F.col("mask").alias("d_mask"), F.col("head").alias("d_head")))
+        small = F.broadcast(divided)  # groups of more than DEAL * CHUNK of all fingerprints, a mask each
+        kept = tasks.join(small, (F.col("mask") == F.col("d_mask")) & (F.col("head") == F.col("d_head")), "left_anti")
+        tasks = kept.unionByName(parts.join(small, (F.col("of_mask") == F.col("d_mask")) & (F.col("of_head") == F.col("d_head")), "left_semi").select("mask", "head", "fp", "chunks"))
+    tasks = tasks.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    # A chunk goes to each pair of chunks that it is in.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
+    dealt = tasks.select("mask", "head", "fp", "chunk", F.explode(pairs).alias("p")).select("mask", "head", "p.a", "p.b", "fp", "chunk")
+    return dealt.groupBy("mask", "head", "a", "b").applyInArrow(_join_chunks(errors), "u long, v long")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
