@@ -89,7 +89,7 @@ def by_scheme(questions: DataFrame, plant: Plant, schemes: dict[str, DataFrame],
     asked = checkpointed(questions.where("gold_tag is not null").select("tid", "question", "gold_tag"))
     reached = checkpointed(retrieval.expand(linked_assets(asked, plant), plant).join(elements(plant).where("etype = 'signal'").select("eid"), "eid", "left_semi").select("tid", "eid"))
     key = lambda scheme, x: F.concat(F.lit(f"{scheme} "), x)
-    tags = checkpointed(reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("scheme"), "tag", "new_tag") for name, t in schemes.items()]))
+    tags = checkpointed(reduce(DataFrame.unionByName, [checkpointed(t.select(F.lit(name).alias("scheme"), "tag", "new_tag")) for name, t in schemes.items()]))
     every = asked.join(F.broadcast(tags.withColumnRenamed("tag", "gold_tag")), "gold_tag").select("scheme", "tid", F.concat("scheme", F.lit(" "), "tid").alias("asker"), "question", F.concat("scheme", F.lit(" "), "new_tag").alias("gold"))
     every = checkpointed(every)
     terms = checkpointed(lexical.term_counts(every, "asker", "question"))
@@ -99,13 +99,13 @@ def by_scheme(questions: DataFrame, plant: Plant, schemes: dict[str, DataFrame],
         for name in schemes:
             index = index_text(renamed(plant, tags.where(c("scheme") == name).select("tag", "new_tag")), cond)
             text = F.when(c("etype") == "signal", F.concat_ws(" ", "text", retrieval.decoded(c("eid")))).otherwise(c("text")) if decode else c("text")
-            indexes.append(index.select(F.lit(name).alias("scheme"), key(name, c("eid")).alias("eid"), "etype", text.alias("text")))
-        index = checkpointed(reduce(DataFrame.unionByName, indexes))
+            indexes.append(checkpointed(index.select(F.lit(name).alias("scheme"), key(name, c("eid")).alias("eid"), "etype", text.alias("text"))))
+        index = reduce(DataFrame.unionByName, indexes)
         if cond.key in retrieval.FLAT:
             members = every.select("asker", "scheme").join(F.broadcast(index.select("scheme", "eid")), "scheme").select("asker", "eid")
         else:
             members = reached.join(F.broadcast(tags.withColumnRenamed("tag", "eid")), "eid").select(F.concat("scheme", F.lit(" "), "tid").alias("asker"), F.concat("scheme", F.lit(" "), "new_tag").alias("eid"))
-        scores = lexical.rank_within(members, lexical.term_counts(index, "eid", "text"), terms, "asker", "eid")
+        scores = checkpointed(lexical.rank_within(members, checkpointed(lexical.term_counts(index, "eid", "text")), terms, "asker", "eid"))
         signals = scores.join(F.broadcast(index.where("etype = 'signal'").select("eid")), "eid", "left_semi")
         order = Window.partitionBy("asker").orderBy(F.desc("score"), "eid")
         top = checkpointed(signals.withColumn("pos", F.row_number().over(order)).where("pos <= 5"))
@@ -114,7 +114,7 @@ def by_scheme(questions: DataFrame, plant: Plant, schemes: dict[str, DataFrame],
         right = F.coalesce(c("rank") == 1, F.lit(False))
         n = rows.groupBy("scheme").agg(F.count("*").alias("n"), F.count_if(right).alias("hits"), F.avg(F.coalesce(1.0 / c("rank"), F.lit(0.0))).alias("mrr"), F.avg((~right & c("found").isNotNull()).cast("double")).alias("wrong"))
         low, high = stats.wilson(c("hits"), c("n"))
-        out.append(n.select("scheme", F.lit(resolver).alias("resolver"), "n", (c("hits") / c("n")).alias("top1"), low.alias("low"), high.alias("high"), "mrr", "wrong"))
+        out.append(checkpointed(n).select("scheme", F.lit(resolver).alias("resolver"), "n", (c("hits") / c("n")).alias("top1"), low.alias("low"), high.alias("high"), "mrr", "wrong"))
     return reduce(DataFrame.unionByName, out)
 
 

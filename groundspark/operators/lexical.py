@@ -53,10 +53,11 @@ def rank_within(members: DataFrame, counts: DataFrame, asked: DataFrame, query_k
     members: query and document; counts: document, term, n; asked: query, term, n. Weights are relative to
     each query's corpus, so a corpus is a neighbourhood of some hundred documents, not a table.
     """
+    members = checkpointed(members)  # small, and asked again and again
     n_docs = members.groupBy(query_key).agg(F.count("*").alias("n_docs"))
     rows = members.join(counts, doc_key).join(n_docs, query_key)
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy(query_key, "term"))).withColumn("r", _tf() * _idf())
-    rows = rows.withColumn("norm", F.sqrt(F.sum(F.col("r") * F.col("r")).over(Window.partitionBy(query_key, doc_key))))
+    rows = checkpointed(rows.withColumn("norm", F.sqrt(F.sum(F.col("r") * F.col("r")).over(Window.partitionBy(query_key, doc_key)))))
     frequency = rows.select(query_key, "term", "df", "n_docs").distinct()
     wq = asked.join(frequency, [query_key, "term"], "left").withColumn("rq", _tf() * F.coalesce(_idf(), F.lit(1.0)))
     wq = wq.withColumn("nq", F.sqrt(F.sum(F.col("rq") * F.col("rq")).over(Window.partitionBy(query_key)))).select(query_key, "term", (F.col("rq") / F.col("nq")).alias("wq"))
