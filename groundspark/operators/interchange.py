@@ -12,7 +12,7 @@ from groundspark.functions.text import surrogate_tokens, xml_escape
 from groundspark.operators.triples import IRDI, SNAPSHOT
 
 # Fixed values of the two formats: identifiers, semantic ids and data types.
-BASE = "https://w3id.org/semindus"
+BASE = "https://example.org/plantmodels"
 IEC61360 = "https://admin-shell.io/DataSpecificationTemplates/DataSpecificationIec61360/3/0"
 NAMEPLATE = [("ManufacturerName", "manufacturer", "0173-1#02-AAO677#002"), ("ManufacturerProductDesignation", "model", "0173-1#02-AAW338#001"), ("SerialNumber", "serial", "0173-1#02-AAM556#002"), ("YearOfConstruction", "year", "0173-1#02-AAP906#001")]
 SERIAL = "0173-1#02-AAM556#002"
@@ -175,8 +175,8 @@ def nodeset_blocks(plant: Plant) -> DataFrame:
 
 NODESET_HEAD = """<?xml version="1.0" encoding="utf-8"?>
 <UANodeSet xmlns="http://opcfoundation.org/UA/2011/03/UANodeSet.xsd" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance">
-  <NamespaceUris><Uri>https://w3id.org/semindus/opcua</Uri></NamespaceUris>
-  <Models><Model ModelUri="https://w3id.org/semindus/opcua" Version="1.0.0" PublicationDate="2026-07-14T00:00:00Z"/></Models>"""
+  <NamespaceUris><Uri>https://example.org/plantmodels/opcua</Uri></NamespaceUris>
+  <Models><Model ModelUri="https://example.org/plantmodels/opcua" Version="1.0.0" PublicationDate="2026-07-14T00:00:00Z"/></Models>"""
 
 
 def nodeset(plant: Plant) -> DataFrame:
