@@ -60,5 +60,11 @@ coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_pla
 """
 
 
+RECIPES = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) WINDOW w AS (PARTITION BY t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP, "op6_secrets": SECRETS, "op7_mixing": MIXING}
+    return {"op3_line_dedup": LINE_DEDUP, "op6_secrets": SECRETS, "op7_mixing": MIXING, "op13_recipes": RECIPES}

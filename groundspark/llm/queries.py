@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm import langid, linedup, media, minhash, mixing, packing, quality, secrets, simhash, sstable
+from groundspark.llm import langid, linedup, media, minhash, mixing, packing, quality, recipes, secrets, simhash, sstable
 from groundspark.llm.common import documents, n_words, new_folder, text_or_empty
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,5 +64,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_groups(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
