@@ -66,5 +66,20 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 """
 
 
+TRIE = """
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL),
+tab AS (SELECT list(crc ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS crc FROM (SELECT unnest(range(256)) AS n))),
+ids AS (SELECT c, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM o), tab),
+turns AS (SELECT ids.c, o.i, 0 AS own, o.x FROM ids JOIN o ON o.c = ids.c - ids.c % 5 AND o.i <= h UNION ALL SELECT ids.c, o.i, 1, o.x FROM ids JOIN o ON o.c = ids.c AND o.i > h),
+built AS (SELECT ids.c, coalesce(list(x ORDER BY own, i) FILTER (i IS NOT NULL), []) AS l FROM ids LEFT JOIN turns ON turns.c = ids.c GROUP BY ids.c),
+pre AS (SELECT c, d, l[1:d] AS p, len(l) = d AS ends FROM built, unnest(range(len(l) + 1)) AS u(d)),
+node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256, (count(*) - 1) * coalesce(octet_length(encode(p[d].t)), 0) AS saved FROM pre GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children, up.conv_id AS parent_conv_id FROM node LEFT JOIN kids ON kids.p = node.p LEFT JOIN node up ON up.p = node.p[1:node.d - 1] AND up.d = node.d - 1),
+sums AS (SELECT p[1:k] AS p, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM full_, unnest(range(d + 1)) AS u(k) GROUP BY 1)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN sums USING (p)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP, "op6_secrets": SECRETS, "op7_mixing": MIXING, "op13_recipes": RECIPES}
+    return {"op3_line_dedup": LINE_DEDUP, "op6_secrets": SECRETS, "op7_mixing": MIXING, "op12_trie": TRIE, "op13_recipes": RECIPES}
