@@ -81,5 +81,22 @@ SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved
 """
 
 
+def _lloyd(rounds: int = 4) -> str:
+    near = "SELECT id, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT v.id, v.p, v.x, b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM part v JOIN {book} b USING (p)) GROUP BY id, p, x"
+    steps = []
+    for n in range(rounds):
+        steps.append(f"""near{n} AS ({near.format(book=f'book{n}')}),
+book{n + 1} AS (SELECT b.p, b.e, CASE WHEN m.x IS NULL THEN b.x ELSE m.x END AS x FROM book{n} b LEFT JOIN (SELECT p, e, list(CAST(floor(s / c) AS BIGINT) ORDER BY i) AS x FROM (SELECT p, e, i, sum(y) AS s, count(*) AS c FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{n}) GROUP BY ALL) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+part AS (SELECT id, p, x[p * (len(x) // 4) + 1:(p + 1) * (len(x) // 4)] AS x FROM kept, (VALUES (0), (1), (2), (3)) AS t(p)),
+book0 AS (SELECT p, id - 1 AS e, x FROM part WHERE id <= 256),
+{','.join(steps)},
+last AS ({near.format(book=f'book{rounds}')}),
+coded AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last JOIN kept USING (id) GROUP BY id, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP, "op6_secrets": SECRETS, "op7_mixing": MIXING, "op12_trie": TRIE, "op13_recipes": RECIPES}
+    return {"op11_lloyd": _lloyd(), "op3_line_dedup": LINE_DEDUP, "op6_secrets": SECRETS, "op7_mixing": MIXING, "op12_trie": TRIE, "op13_recipes": RECIPES}

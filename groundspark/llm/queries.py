@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm import langid, linedup, media, minhash, mixing, packing, quality, recipes, secrets, simhash, sstable, trie
+from groundspark.llm import langid, linedup, lloyd, media, minhash, mixing, packing, quality, recipes, secrets, simhash, sstable, trie
 from groundspark.llm.common import documents, n_words, new_folder, text_or_empty
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), block=5, most=8)
 
