@@ -10,10 +10,10 @@ a pattern's places come from the lengths of its matches and of the pieces betwee
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import held, join_once, text_or_empty
+from groundspark.llm.common import HOT, held, join_once, text_or_empty
 
 # The patterns of the three base kinds and the least length of their value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,7 +24,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: Runs of the value alphabet in which values may stand, and what joins a value to its neighbours there.
 BARE = r"[A-Za-z0-9+/_.=-]{12,}"
-JOINTS = "[./=-]"
+JOINED = "./=-"
+JOINTS = f"[{JOINED}]"
 #: The long ones among the runs of HEX; a shorter run has no long part.
 LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 #: A value of more owners, or of more repositories, is a copied example.
@@ -33,40 +34,40 @@ OWNERS, REPOSITORIES = 1, 8
 DIFFERENT, PART = 6, 3
 #: Words of placeholders.
 PLACEHOLDER = "example|sample|dummy|placeholder|changeme|change_me|your[_-]?|redacted|xxxx|1234567|abcdefg|qwerty|password|secret"
-SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
+FOUND = "array<struct<gap:int,len:int,value:string>>"
 
 
-def _places(text: Column, pattern: str | Column, kind: str, group: int, least: int) -> Column:
-    """Spans of leftmost matches that do not overlap, in code points."""
+def _found(text: Column, pattern: str, group: int, least: int) -> Column:
+    """Leftmost matches that do not overlap, in order: gap (code points since the match before), len, and value if it has `least` characters."""
     pattern = F.lit(pattern)
     matches, pieces, values = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(group))
     rows = F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(pieces, F.lit(1), F.size(matches)).alias("p"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+    return F.transform(rows, lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("len"), F.when(F.length(x["v"]) >= least, x["v"]).alias("value")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["p"])
-        end = at + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("start"), end.cast("long").alias("end"), x["v"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+def matches(text: Column) -> list[Column]:
+    """What the patterns find, a column for each of KINDS and one, `bare`, of runs in which values may stand."""
+    some = {
+        "assign": F.when(text.rlike(ASSIGN), _found(text, ASSIGN, 2, LEAST["assign"])),
+        "access": F.when(text.contains("AKIA"), _found(text, ACCESS, 0, LEAST["access"])),
+        "hex": F.when(text.rlike(LONG_HEX), _found(text, LONG_HEX, 0, LEAST["hex"])),
+        "bare": F.when(text.rlike(BARE), _found(text, BARE, 0, 12)),
+    }
+    return [F.coalesce(x, F.array().cast(FOUND)).alias(name) for name, x in some.items()]
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind, start, end, value>> by start, then kind as listed."""
-    some = [
-        F.when(text.rlike(ASSIGN), _places(text, ASSIGN, "assign", 2, LEAST["assign"])),
-        F.when(text.contains("AKIA"), _places(text, ACCESS, "access", 0, LEAST["access"])),
-        F.when(text.rlike(LONG_HEX), _places(text, LONG_HEX, "hex", 0, LEAST["hex"])),
-    ]
-    spans = F.concat(*[F.coalesce(x, F.array().cast(SPAN)) for x in some])
-    return _in_order(spans, KINDS)
+def _placed(found: DataFrame, *order: str) -> DataFrame:
+    """found (row, gap, len, ...; in order of `order` within a row) with start, from a running sum over what comes before."""
+    so_far = Window.partitionBy("row", *order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("start", F.sum(F.col("gap").cast("long") + F.col("len")).over(so_far) - F.col("len")).drop("gap")
 
 
-def _in_order(spans: Column, kinds: tuple[str, ...]) -> Column:
-    rank = lambda x: F.array_position(F.array(*map(F.lit, kinds)), x["kind"])
-    keyed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["value"].alias("value"), x["kind"].alias("kind"))))
-    return F.transform(keyed, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+def base_spans(rows: DataFrame) -> DataFrame:
+    """row, owner, repository, rank (of the kind), start, end, value of what the patterns found."""
+    one = lambda k, kind: F.transform(kind, lambda x: F.struct(F.lit(k).alias("rank"), x["gap"].alias("gap"), x["len"].alias("len"), x["value"].alias("value")))
+    every = F.concat(*[one(k, F.col(kind)) for k, kind in enumerate(KINDS, 1)])
+    found = rows.select("row", "owner", "repository", F.posexplode(every).alias("k", "x")).select("row", "owner", "repository", "k", "x.*")
+    return _placed(found, "rank", "k").where("value is not null").withColumn("end", F.col("start") + F.col("len")).drop("k", "len")
 
 
 def written(spans: Column) -> Column:
@@ -90,27 +91,77 @@ def ownership(found: DataFrame) -> DataFrame:
     return counted.select("*", (~copied & looks_random(F.col("value"))).alias("live"), copied.alias("copied"))
 
 
-def _words(run: Column) -> Column:
-    """What lies between the joints of a run; the run itself if there is nothing else in it."""
-    found = F.array_distinct(F.array_remove(F.split(run, JOINTS, -1), ""))
-    return F.when(F.size(found) == 0, F.array(run)).otherwise(found)
+def _cut(value: Column) -> dict[str, Column]:
+    """A value's leading joints, what is between, its words there, and its trailing joints."""
+    core, left, right = F.btrim(value, F.lit(JOINED)), F.ltrim(value, F.lit(JOINED)), F.rtrim(value, F.lit(JOINED))
+    lead, trail = F.left(value, F.length(value) - F.length(left)), F.right(value, F.length(value) - F.length(right))
+    return {"lead": lead, "core": core, "words": F.split(core, f"{JOINTS}+", -1), "trail": trail}
 
 
-def _further(rows: DataFrame, live: DataFrame) -> DataFrame:
-    """row, s: places of live values (value) within the runs of rows (row, base, bare) that no base span overlaps.
+def _pieces(rows: DataFrame, starting: DataFrame) -> DataFrame:
+    """row, k (of the run), start (in the run), before, core, after: what lies between joints in runs, wherever it begins with a word of
+    `starting` (word, counts) and has as many words as one of its counts; before and after are the joints around it.
 
-    A place begins and ends at a joint or at an end of its run. A run and a value meet by the value's
-    longest word, which the run must hold as a whole; only runs that do are searched.
+    Only runs that hold such a word are cut up.
     """
-    runs = rows.select("row", "base", F.posexplode("bare").alias("k", "run"))
-    longest = F.array_max(F.transform(_words(F.col("value")), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
-    asked = live.select("value", longest["word"].alias("word"))
-    met = runs.select("row", "k", F.explode(_words(F.col("run.value"))).alias("word")).join(asked, "word").select("row", "k", "value")
-    quoted = F.concat(F.lit(rf"(?:(?<![^./=-])|(?={JOINTS}))\Q"), F.col("value"), F.lit(rf"\E(?:(?![^./=-])|(?<={JOINTS}))"))
-    places = runs.join(met, ["row", "k"]).select("row", "base", "run", F.explode(_places(F.col("run.value"), quoted, "owned", 0, 1)).alias("p"))
-    at = F.col("run.start")
-    found = places.select("row", "base", F.struct(F.col("p.kind").alias("kind"), (at + F.col("p.start")).alias("start"), (at + F.col("p.end")).alias("end"), F.col("p.value").alias("value")).alias("s"))
-    return found.where(~F.exists("base", lambda y: (F.col("s.start") < y["end"]) & (y["start"] < F.col("s.end")))).select("row", "s")
+    runs = rows.select("row", F.posexplode("bare").alias("k", "run")).select("row", "k", F.col("run.value").alias("run"))
+    words = F.split("run", f"{JOINTS}+", -1)
+    each = runs.select("row", "k", F.explode(F.array_distinct(words)).alias("word"))
+    many = starting.withColumn("n", F.lit(1)) if starting.limit(HOT + 1).count() <= HOT else each.groupBy("word").agg(F.count("*").alias("n")).join(starting, "word")
+    searched = join_once(each, many, ["word"]).select("row", "k").distinct()
+    cut = runs.join(searched, ["row", "k"]).select("row", "k", words.alias("words"), F.regexp_extract_all("run", F.lit(f"{JOINTS}+"), F.lit(0)).alias("joints"))
+    cut = cut.select("row", "k", F.size("words").alias("of"), F.posexplode(F.arrays_zip("words", F.concat(F.array(F.lit("")), "joints").alias("before"), F.concat("joints", F.array(F.lit(""))).alias("after"))).alias("t", "x"))
+    cut = cut.select("row", "k", "of", "t", F.col("x.words").alias("word"), "x.before", "x.after").where("word <> ''")
+    parts = held(_placed(cut.withColumns({"gap": F.length("before"), "len": F.length("word")}), "k", "t"))
+    asked = join_once(parts, many, ["word"]).select("row", "k", "t", "of", "start", "before", "word", "after", F.explode("counts").alias("count")).where("t + count <= of")
+    alone = asked.where("count = 1").select("row", "k", "start", "before", F.col("word").alias("core"), "after")
+    longer = asked.where("count > 1").select("row", "k", "t", "count", "start", "before", F.explode(F.sequence(F.col("t"), F.col("t") + F.col("count") - 1)).alias("s"))
+    joined = longer.join(parts.select("row", "k", F.col("t").alias("s"), "word", "after"), ["row", "k", "s"])
+    listed = joined.groupBy("row", "k", "t", "count", "start", "before").agg(F.array_sort(F.collect_list(F.struct("s", "word", "after"))).alias("l")).where("size(l) = count")
+    text = F.array_join(F.transform("l", lambda x: F.concat(x["word"], F.when(x["s"] < F.col("t") + F.col("count") - 1, x["after"]).otherwise(""))), "")
+    return alone.unionByName(listed.select("row", "k", "start", "before", text.alias("core"), F.element_at("l", -1)["after"].alias("after")))
+
+
+def _apart(places: DataFrame) -> DataFrame:
+    """places (row, k, value, start, end) without those that overlap an earlier one of the same value that is left.
+
+    Places that overlap form clusters; only within one, and there are few, is the choice made one after the other.
+    """
+    by = Window.partitionBy("row", "k", "value").orderBy("start")
+    marked = places.withColumn("_new", F.coalesce(F.col("start") >= F.lag("end").over(by), F.lit(True)).cast("int"))
+    clusters = marked.withColumn("_c", F.sum("_new").over(by)).groupBy("row", "k", "value", "_c").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    size = F.length("value")
+    chosen = F.aggregate("starts", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.element_at(acc, -1) + size), F.concat(acc, F.array(x))).otherwise(acc))
+    start = F.explode(F.when(F.size("starts") == 1, F.col("starts")).otherwise(chosen)).alias("start")
+    return clusters.select("row", "k", "value", start).withColumn("end", F.col("start") + size)
+
+
+def further(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """row, start, end, value: places of live values within the runs of rows (row, bare).
+
+    A place begins and ends at a joint or at an end of its run. Runs are cut at joints, and a piece meets
+    the values by the whole of what it says, so values that share words meet no more than those that do not.
+    """
+    cut = _cut(F.col("value"))
+    values = held(live.select("value", *[c.alias(name) for name, c in cut.items()]))
+    starting = held(values.groupBy(F.element_at("words", 1).alias("word")).agg(F.collect_set(F.size("words")).alias("counts")))
+    pieces = held(_pieces(rows, starting))
+    by_core = values.groupBy("core").agg(F.collect_list(F.struct("lead", "trail", "value")).alias("values"))  # which differ in joints at their ends only
+    wanted = pieces.groupBy("core").agg(F.count("*").alias("n")).join(by_core, "core")
+    met = join_once(pieces, wanted, ["core"]).select("row", "k", "start", "before", "after", F.explode("values").alias("v")).where("endswith(before, v.lead) and startswith(after, v.trail)")
+    here = met.select("row", "k", F.col("v.value").alias("value"), (F.col("start") - F.length("v.lead")).alias("start"))
+    places = held(_apart(here.withColumn("end", F.col("start") + F.length("value"))))
+    runs = rows.join(places.select("row").distinct(), "row", "left_semi").select("row", F.posexplode("bare").alias("k", "run")).select("row", "k", "run.gap", "run.len")
+    at = _placed(runs, "k").select("row", "k", F.col("start").alias("at"))
+    return places.join(at, ["row", "k"]).select("row", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "value")
+
+
+def _free(found: DataFrame, base: DataFrame) -> DataFrame:
+    """Spans of found (row, start, end, value) that overlap no span of base: none of those that begin before its end reaches beyond its start."""
+    both = found.select("row", "start", "end", "value", F.col("end").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("reach"))
+    both = both.unionByName(base.select("row", "start", "end", "value", F.col("start").alias("at"), F.lit(1).alias("turn"), F.col("end").alias("reach")))
+    before = Window.partitionBy("row").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("reach", F.max("reach").over(before)).where("turn = 0 and coalesce(reach, 0) <= start").select("row", "start", "end", "value")
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -119,20 +170,22 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     docs: doc_id, text and the columns named by owner and repository; others are ignored. Where there are no
     such columns, the source owns a text and a document is a repository of its own. A null text counts as
     empty; a null owner or repository is one of its own. Rows of equal id and text are counted as one
-    place, and each of them is returned. Kinds of further spans: `owned`.
+    place, and each of them is returned. Kinds of further spans: `owned`. Time grows with a text's length, not with its square.
     """
-    text = text_or_empty()
-    bare = F.when(text.rlike(BARE), _places(text, BARE, "owned", 0, 12))
-    rows = docs.select("doc_id", F.col(owner).alias("owner"), F.col(repository).cast("string").alias("repository"), base_spans(text).alias("base"), F.coalesce(bare, F.array().cast(SPAN)).alias("bare"))
+    rows = docs.select("doc_id", F.col(owner).alias("owner"), F.col(repository).cast("string").alias("repository"), *matches(text_or_empty()))
     rows = held(rows.withColumn("row", F.monotonically_increasing_id()))
-    values = rows.select("row", "owner", "repository", F.explode("base").alias("s")).select("row", "owner", "repository", "s.value", F.sha2("s.value", 256).alias("hash"))
-    owned = held(ownership(values))
-    kinds = {"n_live": F.col("live"), "n_copied": F.col("copied"), "n_plain": ~F.col("live") & ~F.col("copied")}
-    judged = join_once(values.select("row", "hash"), owned.select("hash", "n", "live", "copied"), ["hash"])
-    counted = judged.groupBy("row").agg(*[F.sum(c.cast("long")).alias(name) for name, c in kinds.items()])
-    live = owned.where("live").select("value")
-    alone = _further(rows, live)
-    more = alone.groupBy("row").agg(F.collect_list("s").alias("more"))  # a document's own
-    joined = rows.join(counted, "row", "left").join(more, "row", "left")
-    spans = _in_order(F.concat("base", F.coalesce("more", F.array().cast(SPAN))), (*KINDS, "owned"))
-    return joined.select("doc_id", "base", spans.alias("spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in kinds])
+    base = held(base_spans(rows).withColumn("hash", F.sha2("value", 256)))
+    owned = held(ownership(base))
+    judged = join_once(base.drop("owner", "repository"), owned.select("hash", "n", "live", "copied"), ["hash"])
+    more = _free(further(rows, owned.where("live").select("value")), base).select("row", F.lit(len(KINDS) + 1).alias("rank"), "start", "end", "value", F.lit(False).alias("live"), F.lit(False).alias("copied"))
+    every = judged.drop("hash").unionByName(more)
+    based = F.col("rank") <= len(KINDS)
+    kinds = {"n_live": based & F.col("live"), "n_copied": based & F.col("copied"), "n_plain": based & ~F.col("live") & ~F.col("copied")}
+    listed = F.array_sort(F.collect_list(F.struct("start", "rank", "end", "value")))  # a document's own
+    of_row = every.groupBy("row").agg(listed.alias("all"), *[F.sum(c.cast("long")).alias(name) for name, c in kinds.items()])
+    named = F.array(*map(F.lit, (*KINDS, "owned")))
+    spans = lambda some: F.transform(some, lambda x: F.struct(F.element_at(named, x["rank"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,value:string>>")
+    joined = rows.select("row", "doc_id").join(of_row, "row", "left").withColumn("all", F.coalesce("all", none))
+    own = F.filter("all", lambda x: x["rank"] <= len(KINDS))
+    return joined.select("doc_id", spans(own).alias("base"), spans(F.col("all")).alias("spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in kinds])
