@@ -187,6 +187,8 @@ def packed(questions: DataFrame, ordered: DataFrame, plant: Plant, cond: Conditi
     questions: tid; ordered: tid, eid, pos. Elements are taken in order, each that still fits; those that do not are
     skipped. Where the condition knows units, elements leave room for their definitions, which follow as a
     whole if they fit the full budget. Budget null: no limit. A question without elements has the header.
+    tokens counts each element with its line end and the definitions with those between them, not the one line end
+    that joins the definitions to what stands before; a text with definitions is one token longer.
     """
     c = F.col
     dims = "dim" in cond.kinds
