@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.operators.joins import HOT, join_once  # noqa: F401  (the operators here use it too)
+from groundspark.operators.joins import HOT, join_once, small  # noqa: F401  (the operators here use it too)
 
 #: The two kinds of characters that contracts speak of: words are runs of other characters than these.
 WORD = r"[^\x20\x09-\x0D]+"

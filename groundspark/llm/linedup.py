@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import held, join_once
+from groundspark.llm.common import held, join_once, small
 
 LINES = 3
 
@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # Other columns travel in one struct, so their names cannot clash with those used here.
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"))
-    covered = held(repeated_lines(rows, n)).withColumnsRenamed({"doc_id": "c_id", "text_hash": "c_hash"})
+    covered = small(held(repeated_lines(rows, n))).withColumnsRenamed({"doc_id": "c_id", "text_hash": "c_hash"})
     joined = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left")
     lines = F.split("text", "\n")
     # covered is ascending and without repeats, so lines keep their order under array_except of positions.

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import held, join_once
+from groundspark.llm.common import held, join_once, small
 
 BITS = 64
 CHUNK = 1000
@@ -223,9 +223,9 @@ def links(distinct: DataFrame, errors: int = 4) -> DataFrame:
         whole = large.groupBy("mask", "head").agg(F.sum("chunks").alias("whole"))
         # A group's rows are its fingerprints times its chunks, before and after.
         divided = held(whole.join(cost, (F.col("mask") == F.col("of_mask")) & (F.col("head") == F.col("of_head")), "left").where(F.coalesce("parts", F.lit(0)) < F.col("whole")).select(F.col("mask").alias("d_mask"), F.col("head").alias("d_head")))
-        small = F.broadcast(divided)  # groups of more than DEAL * CHUNK of all fingerprints, a mask each
-        kept = tasks.join(small, (F.col("mask") == F.col("d_mask")) & (F.col("head") == F.col("d_head")), "left_anti")
-        tasks = kept.unionByName(parts.join(small, (F.col("of_mask") == F.col("d_mask")) & (F.col("of_head") == F.col("d_head")), "left_semi").select("mask", "head", "fp", "chunks"))
+        few = small(divided)  # groups of more than DEAL * CHUNK of all fingerprints, a mask each
+        kept = tasks.join(few, (F.col("mask") == F.col("d_mask")) & (F.col("head") == F.col("d_head")), "left_anti")
+        tasks = kept.unionByName(parts.join(few, (F.col("of_mask") == F.col("d_mask")) & (F.col("of_head") == F.col("d_head")), "left_semi").select("mask", "head", "fp", "chunks"))
     tasks = tasks.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     # A chunk goes to each pair of chunks that it is in.
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
