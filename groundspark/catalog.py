@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundspark.plans import actions, interchange, plant, questions, records, tables  # noqa: F401  (they register their queries)
+from groundspark.plans import actions, graphs, interchange, plant, questions, records, tables  # noqa: F401  (they register their queries)
 from groundspark.plans.registry import ORACLES, QUERIES
 
 

@@ -11,18 +11,22 @@ from groundspark.session import checkpointed
 def closure(edges: DataFrame, starts: DataFrame | None = None, zero_hop: bool = False) -> DataFrame:
     """src, dst, hops (fewest): pairs joined by a path of one or more edges; cycles are safe.
 
-    Each round extends the newest pairs by one edge and keeps those not seen before, so work is in
-    proportion to new pairs. starts: src values to begin at (all by default). zero_hop adds each with itself.
+    All pairs come by doubling: once all pairs within k hops are known, those of exactly k hops lead to all
+    within 2k, so a chain of n takes log n rounds. starts: src values to begin at; then each round extends
+    the newest pairs by one edge, so that nothing but pairs from there is made. zero_hop adds each with itself.
     """
     steps = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     first = steps if starts is None else steps.join(starts.select("src").distinct(), "src", "left_semi")
     seen = newest = checkpointed(first.withColumn("hops", F.lit(1)))
-    hops = 1
+    hops, ahead = 1, steps.select(F.col("src").alias("via"), "dst", F.lit(1).alias("more"))
     while not newest.isEmpty():
-        hops += 1
-        ahead = newest.select("src", F.col("dst").alias("via")).join(steps.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        newest = checkpointed(ahead.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
+        far = newest.where(F.col("hops") == hops).select("src", F.col("dst").alias("via"))
+        if starts is None:
+            ahead = seen.select(F.col("src").alias("via"), "dst", F.col("hops").alias("more"))
+        found = far.join(ahead, "via").groupBy("src", "dst").agg((F.min("more") + hops).alias("hops"))
+        newest = checkpointed(found.join(seen, ["src", "dst"], "left_anti"))
         seen = seen.unionByName(newest)
+        hops = 2 * hops if starts is None else hops + 1
     if zero_hop:
         nodes = (steps.select("src").unionByName(steps.select(F.col("dst").alias("src"))) if starts is None else starts.select("src")).distinct()
         itself = nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("hops"))
