@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from groundspark.operators import intervals
 from groundspark.plans.registry import query, table
+from groundspark.session import shared_folder
+from groundspark.streaming import machine
 
 HALF_DAY = 12 * 3600 * 1_000_000
 
@@ -31,3 +35,54 @@ def t_last_purchase_before(spark, sf_dir):
     found = intervals.as_of(e.select("event_id", "user_id", "at"), bought, ["user_id"], "at", "bought_at", ["purchase_id"], strictly=True)
     age = F.col("at") - F.col("other.bought_at")
     return found.select("event_id", "other.purchase_id", age.alias("age"), F.coalesce(age <= 2 * HALF_DAY, F.lit(False)).alias("fresh"))
+
+
+#: What users do, as a machine; a day without an event and it is idle again.
+VISITS = machine.Machine({
+    ("idle", "view"): "browsing", ("idle", "signup"): "browsing", ("browsing", "click"): "browsing", ("browsing", "purchase"): "buying", ("browsing", "error"): "failed",
+    ("buying", "view"): "browsing", ("buying", "error"): "failed", ("failed", "signup"): "idle", ("failed", "click"): "browsing",
+}, "idle", 24 * 3600)
+
+
+def _visits_sql() -> str:
+    moves = ", ".join(f"('{s}', '{c}', '{to}')" for (s, c), to in VISITS.moves.items())
+    day = VISITS.patience * machine.MICROS
+    return f"""WITH RECURSIVE moves(state, command, next) AS (VALUES {moves}),
+e AS (SELECT user_id, epoch_us(ts) AS t, event_type AS command, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS i, max(epoch_us(ts)) OVER () AS until FROM events),
+run(user_id, i, t, command, before, after, stale, lost) AS (SELECT user_id, i, t, e.command, 'idle', coalesce(next, 'idle'), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM e LEFT JOIN moves m ON m.state = 'idle' AND m.command = e.command WHERE i = 1
+UNION ALL SELECT e.user_id, e.i, e.t, e.command, CASE WHEN e.t > run.t + {day} THEN 'idle' ELSE run.after END, coalesce(next, CASE WHEN e.t > run.t + {day} THEN 'idle' ELSE run.after END), CASE WHEN e.t > run.t + {day} THEN run.t + {day} END, run.after
+FROM run JOIN e ON e.user_id = run.user_id AND e.i = run.i + 1 LEFT JOIN moves m ON m.state = CASE WHEN e.t > run.t + {day} THEN 'idle' ELSE run.after END AND m.command = e.command)
+SELECT user_id AS key, t AS "at", command, before, after, CASE WHEN EXISTS (SELECT 1 FROM moves m WHERE m.state = before AND m.command = run.command) THEN 'moved' ELSE 'refused' END AS outcome FROM run
+UNION ALL SELECT user_id, stale, NULL, lost, 'idle', 'stale' FROM run WHERE stale IS NOT NULL
+UNION ALL SELECT user_id, t + {day}, NULL, after, 'idle', 'stale' FROM run JOIN (SELECT user_id, max(i) AS i, any_value(until) AS until FROM e GROUP BY 1) USING (user_id, i) WHERE until > t + {day}"""
+
+
+@query(_visits_sql)
+def t_visits(spark, sf_dir):
+    """Each user's events through the machine VISITS, and when it grew stale; by a fold over the table."""
+    e = timed_events(spark, sf_dir).select(F.col("user_id").alias("key"), "at", F.col("event_type").alias("command"))
+    until = e.agg(F.max("at")).first()[0]
+    return machine.run_batch(e, VISITS, until)
+
+
+@query(_visits_sql)
+def t_visits_stream(spark, sf_dir, slices: int = 5):
+    """The same rows from a stream: the table comes in slices of time, machines are kept between them, and timers tell which grew stale."""
+    e = timed_events(spark, sf_dir).select(F.col("user_id").alias("key"), F.timestamp_micros("at").alias("ts"), F.col("event_type").alias("command"), "at")
+    low, high = e.agg(F.min("at"), F.max("at")).first()
+    folder = f"{shared_folder(spark)}/visits-{uuid.uuid4().hex}"
+    for i in range(slices if low is not None else 0):
+        slice_ = e.where(F.floor((F.col("at") - low) * slices / (high - low + 1)) == i).drop("at")
+        slice_.coalesce(1).write.mode("append").parquet(f"{folder}/in")  # one file a batch
+    if low is None:
+        return spark.createDataFrame([], f"key bigint, {machine.OUT}")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    try:
+        stream = spark.readStream.schema("key bigint, ts timestamp, command string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        run = machine.run_stream(stream, VISITS).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, was) if was else spark.conf.unset(provider)
+    return spark.read.parquet(f"{folder}/out")

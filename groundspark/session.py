@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the shared folder of spark.checkpoint.dir; lineage ends there, and lost executors lose nothing."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one where it is unset and the master is local."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
+    return (folder or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df in the shared folder; lineage ends there, and lost executors lose nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
