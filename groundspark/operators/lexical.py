@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import search_tokens
+from groundspark.operators.fold import fold
 from groundspark.operators.joins import join_once, small
 from groundspark.session import checkpointed
 
@@ -68,17 +69,21 @@ def rank_within(members: DataFrame, counts: DataFrame, asked: DataFrame, query_k
 def pack_greedily(items: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
     """group, used, taken (orders, ascending): items in order, each that still fits; those that do not are skipped.
 
-    A group's items meet in one row: a candidate list of a question, not a corpus.
+    A fold over a group's items, of which a task holds only those that it has taken.
     """
     return fitted(items, [group], order, cost, F.lit(budget)).select(group, "used", F.array_join("taken", ",").alias("taken"))
 
 
+def _take(state: tuple, o: int, c: int, most: int | None, _: int) -> tuple[tuple, list]:
+    used, taken = state
+    if most is None or used + c <= most:
+        taken.append(o)
+        used += c
+    return (used, taken), []
+
+
 def fitted(items: DataFrame, by: list[str], order: str, cost: str, limit: Column, start: Column | None = None) -> DataFrame:
     """by, used, taken (array of orders): as pack_greedily, with a limit (null: none) and a start cost that are the same for all items of a group."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(cost).cast("long").alias("c"))))
-    begun = F.first(F.coalesce(start, F.lit(0)).cast("long") if start is not None else F.lit(0).cast("long"))
-    whole = items.groupBy(*by).agg(rows.alias("rows"), begun.alias("begun"), F.first(limit.cast("long")).alias("most"))
-    first = F.struct(F.col("begun").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    fits = lambda acc, x: F.col("most").isNull() | (acc["used"] + x["c"] <= F.col("most"))
-    fold = lambda acc, x: F.when(fits(acc, x), F.struct((acc["used"] + x["c"]).alias("used"), F.concat(acc["taken"], F.array(x["o"])).alias("taken"))).otherwise(acc)
-    return whole.select(*by, F.aggregate("rows", first, fold).alias("p")).select(*by, "p.used", "p.taken")
+    begun = F.coalesce(start, F.lit(0)) if start is not None else F.lit(0)
+    rows = items.select(*by, F.col(order).cast("long").alias("_o"), F.col(cost).cast("long").alias("_c"), limit.cast("long").alias("_most"), begun.cast("long").alias("_begun"))
+    return fold(rows, by, ["_o", "_c"], ["_o", "_c", "_most", "_begun"], "used bigint, taken array<bigint>", _take, begin=lambda o, c, most, begun: (begun, []), end=lambda state: [state])

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from groundspark.operators import intervals
+from groundspark.operators import fsm, intervals
 from groundspark.plans.registry import query, table
 from groundspark.session import shared_folder
 from groundspark.streaming import machine
@@ -86,3 +86,24 @@ def t_visits_stream(spark, sf_dir, slices: int = 5):
     finally:
         spark.conf.set(provider, was) if was else spark.conf.unset(provider)
     return spark.read.parquet(f"{folder}/out")
+
+
+def transitions(spark):
+    """VISITS as a table of transitions; every state is settled."""
+    return spark.createDataFrame([(s, c, to, to) for (s, c), to in VISITS.moves.items()], "state string, command string, next_state string, settled string")
+
+
+def _steps_sql() -> str:
+    moves = ", ".join(f"('{s}', '{c}', '{to}')" for (s, c), to in VISITS.moves.items())
+    return f"""WITH moves(state, command, next) AS (VALUES {moves}), legal AS (SELECT state, string_agg(command, ', ' ORDER BY command) AS commands FROM moves GROUP BY 1),
+asked AS (SELECT event_id, (['idle', 'browsing', 'buying', 'failed', 'lost'])[1 + user_id % 5] AS state, event_type AS command FROM events)
+SELECT event_id, state, command, next IS NOT NULL AS allowed, next AS next_state, next AS settled, CASE WHEN commands IS NULL THEN 'unknown state ''' || state || '''' WHEN next IS NOT NULL THEN state || ' --' || command || '--> ' || next
+WHEN command = 'error' THEN command || ' is not accepted in state ' || state ELSE command || ' is illegal in state ' || state || '; legal commands are ' || commands END AS reason FROM asked LEFT JOIN moves USING (state, command) LEFT JOIN legal USING (state)"""
+
+
+@query(_steps_sql)
+def t_event_steps(spark, sf_dir):
+    """Each event as a command to a machine in some state: whether it is taken, where it leads, and why not."""
+    state = F.get(F.array(*map(F.lit, ("idle", "browsing", "buying", "failed", "lost"))), (F.col("user_id") % 5).cast("int"))
+    asked = table(spark, sf_dir, "events").select("event_id", state.alias("state"), F.col("event_type").alias("command"))
+    return fsm.step(asked, transitions(spark), ("error",)).select("event_id", "state", "command", "allowed", "next_state", "settled", "reason")
