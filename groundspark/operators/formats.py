@@ -35,7 +35,10 @@ def historian_cost(spark: SparkSession) -> DataFrame:
 
 def turtle(triples: DataFrame) -> DataFrame:
     """block: a subject with its predicates, in order; prefixes are the writer's first lines."""
-    plain = F.concat(F.lit('"'), F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    text = F.col("o")
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    plain = F.concat(F.lit('"'), text, F.lit('"'))
     name = lambda c: F.when(c.rlike(r"^[a-z0-9]*:[A-Za-z][A-Za-z0-9_-]*$"), c).otherwise(expanded(c))
     o = F.when(F.col("o_kind").isin("iri", "node"), name(F.col("o"))).when(F.col("o_kind") == "lang", F.concat(plain, F.lit("@"), "o_type")).when(F.col("o_kind") == "typed", F.concat(plain, F.lit("^^"), "o_type")).otherwise(plain)
     of_predicate = triples.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_list(o)), ", ").alias("objects"))
