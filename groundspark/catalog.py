@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundspark.plans import actions, constraints, graphs, interchange, names, paging, plant, questions, records, tables, timing  # noqa: F401  (they register their queries)
+from groundspark.plans import actions, agreement, constraints, graphs, interchange, names, paging, plant, questions, records, tables, timing  # noqa: F401  (they register their queries)
 from groundspark.plans.registry import ORACLES, QUERIES
 
 

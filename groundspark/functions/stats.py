@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundspark.operators.joins import small
+
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval, cut to [0, 1]; (0, 0) without trials."""
@@ -30,7 +32,7 @@ def cohen_kappa(pairs: DataFrame, first: str, second: str, weights: str | None =
     seen = p.groupBy(F.col(first).alias("a"), F.col(second).alias("b")).agg(F.count("*").alias("n"))
     rows, cols = seen.groupBy("a").agg(F.sum("n").alias("ra")), seen.groupBy("b").agg(F.sum("n").alias("cb"))
     every = Window.partitionBy()
-    grid = rows.join(F.broadcast(cols), F.lit(True)).join(F.broadcast(seen), ["a", "b"], "left")  # categories squared
+    grid = rows.join(F.broadcast(cols), F.lit(True)).join(small(seen), ["a", "b"], "left")  # categories squared
     span = F.greatest(F.max(F.greatest("a", "b")).over(every) - F.min(F.least("a", "b")).over(every), F.lit(0))
     far = F.abs(F.col("a") - F.col("b")) / F.when(span == 0, 1).otherwise(span)
     w = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1.0) if weights is None else far if weights == "linear" else far * far
@@ -51,7 +53,7 @@ def krippendorff_alpha(codes: DataFrame, unit: str, code: str, level: str = "nom
     marginal = table.groupBy("a").agg(F.sum("v").alias("na"))
     upto = Window.orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = marginal.withColumn("upto", F.sum("na").over(upto))  # one row a category
-    grid = ranked.join(F.broadcast(ranked.toDF("b", "nb", "upto_b")), F.lit(True)).join(F.broadcast(table), ["a", "b"], "left")
+    grid = ranked.join(F.broadcast(ranked.toDF("b", "nb", "upto_b")), F.lit(True)).join(small(table), ["a", "b"], "left")
     if level == "nominal":
         d = F.when(F.col("a") == F.col("b"), 0.0).otherwise(1.0)
     elif level == "interval":

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundspark.operators.joins import join_once
 from groundspark.session import checkpointed
 
+#: Edges from which on nodes with many neighbours are spread.
+HUB = 1_000_000
+
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, zero_hop: bool = False) -> DataFrame:
     """src, dst, hops (fewest): pairs joined by a path of one or more edges; cycles are safe.
@@ -35,17 +39,24 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, zero_hop: bool =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable either way), by star contraction until nothing changes."""
+    """node, root (the smallest node reachable either way), by star contraction until nothing changes.
+
+    In a large component all nodes come to know the root, so from HUB edges on, nodes with many neighbours meet
+    what they are told by a join that keeps them spread.
+    """
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    now, state = checkpointed(pairs.distinct()), None
+    told = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now = checkpointed(pairs.distinct())
+    state = told(now)
     while True:
+        meet = join_once if state[0] > HUB else lambda rows, once, keys: rows.join(once.drop("n"), keys)
         both = now.where("u <> v").unionByName(now.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        large = meet(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = meet(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        was, state = state, told(now)
         if state == was:
             break
     ends = pairs.select("u").union(pairs.select("v")).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions import text
 from groundspark.operators import graph
+from groundspark.operators.joins import join_once
 from groundspark.session import checkpointed
 
 # Sources by preference, told by how their names begin.
@@ -32,11 +33,12 @@ def same_work(rows: DataFrame) -> DataFrame:
     a title that many unrelated works share makes no pairs of all of them.
     """
     c = F.col
-    doi = rows.where("doi is not null").groupBy("doi").agg(F.min("ord").alias("dst")).join(rows.select("doi", c("ord").alias("src")), "doi").select("src", "dst")
+    with_doi = rows.where("doi is not null").select("doi", c("ord").alias("src"))
+    doi = join_once(with_doi, with_doi.groupBy("doi").agg(F.min("src").alias("dst"), F.count("*").alias("n")), ["doi"]).select("src", "dst")
     kinds = ["norm_title", "doi", "year", "author"]
     titled = rows.where("norm_title <> ''").select("ord", F.struct(*kinds).alias("kind"))
-    first = checkpointed(titled.groupBy("kind").agg(F.min("ord").alias("dst")))
-    alike = titled.join(first, "kind").select(c("ord").alias("src"), "dst")
+    first = checkpointed(titled.groupBy("kind").agg(F.min("ord").alias("dst"), F.count("*").alias("n")))
+    alike = join_once(titled, first, ["kind"]).select(c("ord").alias("src"), "dst")
     # A named author meets the same one and none; no author meets all.
     named, nobody, anybody = F.concat(F.lit("="), c("kind.author")), F.lit(""), F.lit("*")
     side = lambda x, keys: first.select(c("kind.norm_title").alias("title"), F.explode(keys).alias("key"), c("dst").alias(f"{x}_ord"), c("kind.doi").alias(f"{x}_doi"), c("kind.year").alias(f"{x}_year"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.operators import linkage
+from groundspark.operators.joins import small
 
 # Topics of related surveys, what makes a title a survey, and the columns of the sheets.
 TOPICS = {
@@ -59,7 +60,7 @@ def sampled(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
 
 
 def _sheet(rows: DataFrame, columns: list[str], double: DataFrame, old: DataFrame | None) -> DataFrame:
-    marked = rows.join(F.broadcast(double.withColumn("double_code", F.lit("yes"))), "record_id", "left").withColumn("double_code", F.coalesce("double_code", F.lit("no")))
+    marked = rows.join(small(double.withColumn("double_code", F.lit("yes"))), "record_id", "left").withColumn("double_code", F.coalesce("double_code", F.lit("no")))
     sheet = marked.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in marked.columns else F.lit("").alias(c) for c in columns])
     return sheet if old is None else linkage.kept_decisions(sheet, old, "record_id", [c for c in HUMAN if c in columns])
 
