@@ -29,7 +29,7 @@ def questions(spark) -> DataFrame:
     return suite.tasks(spark).where("gold_tag is not null")
 
 
-_TASKS = values("tasks(tid, gold_tag, question)", [(a, b or None, c) for a, b, c, _ in suite.rows(suite.TASKS, 4)])
+_TASKS = values("tasks(tid, gold_tag, question)", [(a, b, c) for a, b, c, _ in suite.TASKS])
 _KINDS = values("kinds_of(cond, fact_kind)", [(key, k) for key, cond in elements.conditions().items() for k in sorted(cond.kinds)])
 _SAID_K = values("said_k(kind, word)", [(k, w) for k, ws in elements.SAID_OF_KINDS.items() for w in ws])
 _SAID_L = values("said_l(line, word)", [(k, w) for k, ws in elements.SAID_OF_LINES.items() for w in ws])
