@@ -13,16 +13,16 @@ HOT = 20_000
 SMALL = 200_000
 
 
-def join_once(rows: DataFrame, once: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+def join_once(rows: DataFrame, once: DataFrame, keys: list[str], n: str = "n", spread: bool = True) -> DataFrame:
     """rows joined by keys (without nulls) to a table with one row a key, whose column n counts the rows of that key (or is at least as large).
 
     Keys of more than a HOTth of all rows are fewer than HOT, so they are broadcast and their rows stay where
-    they are spread; no other key gathers more than a HOTth of the rows in a task. HOT keys in all are
-    broadcast as they are. n is not in the result.
+    they are spread; no other key gathers more than a HOTth of the rows in a task. Without spread, rows that lie evenly already
+    stay where they are if there are HOT keys in all, which are then broadcast as they are. n is not in the result.
     """
     once = checkpointed(once)
     total, each = once.agg(F.coalesce(F.sum(n), F.lit(0)), F.count("*")).first()
-    if each <= HOT:
+    if not spread and each <= HOT:
         return rows.join(F.broadcast(once.drop(n)), keys).select(*rows.columns, *[c for c in once.columns if c not in (*keys, n)])
     names = [f"_{k}" for k in keys]
     value = F.struct(*[F.col(c) for c in once.columns if c not in (*keys, n)])
