@@ -43,7 +43,7 @@ def repeated_lines(docs: DataFrame, n: int = LINES) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_hashes(F.split("text", "\n"), n)).alias("at", "w"))
     windows = own.select("doc_id", "text_hash", "at", "w.a", "w.b")
     first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = join_once(windows, first, ["a", "b"]).where(F.struct("doc_id", "text_hash", "at") != F.col("first"))
+    later = join_once(windows, first, ["a", "b"], spread=False).where(F.struct("doc_id", "text_hash", "at") != F.col("first"))
     starts = later.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts"))  # at most a document's lines
     cover = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + n - 1)))))
     return starts.select("doc_id", "text_hash", cover.alias("covered"))

@@ -254,5 +254,5 @@ def compress(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int
     _remove(spark, folder)
     coded = coded.withColumn("named", F.coalesce("label", F.lit(0))).withColumn("nameless", F.col("label").isNull())
     by_label = coded.groupBy("named", "nameless").agg(F.expr("try_cast(sum(cast(error as decimal(38,0))) as bigint)").alias("label_error"), F.count("*").alias("n"))
-    joined = join_once(coded.select("vec_id", "code", "error", "named", "nameless"), by_label, ["named", "nameless"])
+    joined = join_once(coded.select("vec_id", "code", "error", "named", "nameless"), by_label, ["named", "nameless"], spread=False)
     return joined.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

@@ -129,5 +129,5 @@ def exact_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     groups = held(groups.select("key", F.col("last.doc_id").alias("keep_id"), (-F.col("last.row")).alias("keep_row"), "group_size", F.col("group_size").alias("n")))
     if not groups.groupBy("key").agg(F.count("*").alias("lists")).where("lists > 1").isEmpty():
         raise ValueError("two recipes share a SHA-256")
-    joined = join_once(rows.select("doc_id", "sha256", "key", "row"), groups, ["key"])
+    joined = join_once(rows.select("doc_id", "sha256", "key", "row"), groups, ["key"], spread=False)
     return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"))

@@ -108,12 +108,12 @@ def _pieces(rows: DataFrame, starting: DataFrame) -> DataFrame:
     words = F.split("run", f"{JOINTS}+", -1)
     each = runs.select("row", "k", F.explode(F.array_distinct(words)).alias("word"))
     many = starting.withColumn("n", F.lit(1)) if starting.limit(HOT + 1).count() <= HOT else each.groupBy("word").agg(F.count("*").alias("n")).join(starting, "word")
-    searched = join_once(each, many, ["word"]).select("row", "k").distinct()
+    searched = join_once(each, many, ["word"], spread=False).select("row", "k").distinct()
     cut = runs.join(searched, ["row", "k"]).select("row", "k", words.alias("words"), F.regexp_extract_all("run", F.lit(f"{JOINTS}+"), F.lit(0)).alias("joints"))
     cut = cut.select("row", "k", F.size("words").alias("of"), F.posexplode(F.arrays_zip("words", F.concat(F.array(F.lit("")), "joints").alias("before"), F.concat("joints", F.array(F.lit(""))).alias("after"))).alias("t", "x"))
     cut = cut.select("row", "k", "of", "t", F.col("x.words").alias("word"), "x.before", "x.after").where("word <> ''")
     parts = held(_placed(cut.withColumns({"gap": F.length("before"), "len": F.length("word")}), "k", "t"))
-    asked = join_once(parts, many, ["word"]).select("row", "k", "t", "of", "start", "before", "word", "after", F.explode("counts").alias("count")).where("t + count <= of")
+    asked = join_once(parts, many, ["word"], spread=False).select("row", "k", "t", "of", "start", "before", "word", "after", F.explode("counts").alias("count")).where("t + count <= of")
     alone = asked.where("count = 1").select("row", "k", "start", "before", F.col("word").alias("core"), "after")
     longer = asked.where("count > 1").select("row", "k", "t", "count", "start", "before", F.explode(F.sequence(F.col("t"), F.col("t") + F.col("count") - 1)).alias("s"))
     joined = longer.join(parts.select("row", "k", F.col("t").alias("s"), "word", "after"), ["row", "k", "s"])
@@ -148,7 +148,7 @@ def further(rows: DataFrame, live: DataFrame) -> DataFrame:
     pieces = held(_pieces(rows, starting))
     by_core = values.groupBy("core").agg(F.collect_list(F.struct("lead", "trail", "value")).alias("values"))  # which differ in joints at their ends only
     wanted = pieces.groupBy("core").agg(F.count("*").alias("n")).join(by_core, "core")
-    met = join_once(pieces, wanted, ["core"]).select("row", "k", "start", "before", "after", F.explode("values").alias("v")).where("endswith(before, v.lead) and startswith(after, v.trail)")
+    met = join_once(pieces, wanted, ["core"], spread=False).select("row", "k", "start", "before", "after", F.explode("values").alias("v")).where("endswith(before, v.lead) and startswith(after, v.trail)")
     here = met.select("row", "k", F.col("v.value").alias("value"), (F.col("start") - F.length("v.lead")).alias("start"))
     places = held(_apart(here.withColumn("end", F.col("start") + F.length("value"))))
     runs = rows.join(places.select("row").distinct(), "row", "left_semi").select("row", F.posexplode("bare").alias("k", "run")).select("row", "k", "run.gap", "run.len")
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     rows = held(rows.withColumn("row", F.monotonically_increasing_id()))
     base = held(base_spans(rows).withColumn("hash", F.sha2("value", 256)))
     owned = held(ownership(base))
-    judged = join_once(base.drop("owner", "repository"), owned.select("hash", "n", "live", "copied"), ["hash"])
+    judged = join_once(base.drop("owner", "repository"), owned.select("hash", "n", "live", "copied"), ["hash"], spread=False)
     more = _free(further(rows, owned.where("live").select("value")), base).select("row", F.lit(len(KINDS) + 1).alias("rank"), "start", "end", "value", F.lit(False).alias("live"), F.lit(False).alias("copied"))
     every = judged.drop("hash").unionByName(more)
     based = F.col("rank") <= len(KINDS)

@@ -153,7 +153,7 @@ def nodes(rows: DataFrame) -> DataFrame:
     named = held(grouped.select("depth", "digest", "path", "n_convs", saves.alias("saves")))
     paths = named.groupBy("path").agg(F.min("depth").alias("top"), F.max("depth").alias("bottom"), F.sum("saves").alias("saves"))
     # The prefixes of a conversation say which paths stand above its own, and where it leaves them.
-    passed = join_once(rows.select("conv_id", "depth", "digest"), named.select("depth", "digest", "path", F.col("n_convs").alias("n")), ["depth", "digest"])
+    passed = join_once(rows.select("conv_id", "depth", "digest"), named.select("depth", "digest", "path", F.col("n_convs").alias("n")), ["depth", "digest"], spread=False)
     above = passed.where("path <> conv_id").groupBy("conv_id", F.col("path").alias("above")).agg(F.max("depth").alias("at"))
     hangs = held(above.join(paths, F.col("conv_id") == F.col("path")).select("path", "above", "at", "bottom", "saves", (F.col("at") == F.col("top") - 1).alias("direct")))
     branches = hangs.where("direct").groupBy(F.col("above").alias("path"), F.col("at").alias("bottom")).agg(F.count("*").alias("branches"))
