@@ -99,18 +99,16 @@ class _Score:
     def __init__(self, ratios, labels, seed: int, cut: float | None = None):
         self.ratios, self.labels, self.seed, self.cut = ratios, labels, seed, cut
 
-    def gumbel(self, doc_id, text) -> float:
-        named = str(doc_id) if doc_id is not None else f"/{text or ''}"
-        u = (xxhash.xxh3_64_intdigest(named.encode("utf-8", "surrogatepass"), self.seed) + 0.5) / 2.0**64
+    def gumbel(self, doc_id) -> float:
+        u = (xxhash.xxh3_64_intdigest(str(doc_id).encode(), self.seed) + 0.5) / 2.0**64
         return float(-np.log(-np.log(u)))
 
     def __call__(self, batches):
         ratios, good = self.ratios.value, self.labels.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            weights = [ratios.weight(text, good.get(i, False)) for i, text in zip(ids, texts, strict=True)]
-            keys = [w + self.gumbel(i, text) for w, i, text in zip(weights, ids, texts, strict=True)]
+            weights = [ratios.weight(text, good.get(i, False)) for i, text in zip(ids, batch.column("text").to_pylist(), strict=True)]
+            keys = [w + self.gumbel(i) for w, i in zip(weights, ids, strict=True)]
             if self.cut is None:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weights, pa.float64()), pa.array(keys, pa.float64())], names=["doc_id", "log_weight", "key"])
             else:
@@ -196,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, log_weight, key, kept of every row.
 
     Null and empty texts have weight 0. Rows of equal id and text have equal keys and share their fate; rows
-    without an id draw by their text. A labelled id that comes several times counts once. Of equal keys at the cut all stay. Without labels, or without good ones, all weights are 0 and every
+    without an id share one draw, so beyond their weights they stay or go together. A labelled id that comes several times counts once. Of equal keys at the cut all stay. Without labels, or without good ones, all weights are 0 and every
     row is kept. No rows give no rows. Other columns are ignored.
     """
     return Classifier(docs, labels, seed).decisions()
