@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from groundspark.operators import isomorphism
+from groundspark.operators import isomorphism, shapes
+from groundspark.operators.paths import step
 from groundspark.session import checkpointed, discard, shared_folder, stored
 
 
@@ -37,3 +38,17 @@ def test_a_triple_that_comes_again_counts_once(spark):
     other = spark.createDataFrame([*rows[:3], ("_:b", "is", "other", "plain", None)] * 2, triple)
     assert isomorphism.compare(one, twice).isEmpty()
     assert sorted((r.side, r.s) for r in isomorphism.compare(one, other).collect()) == [(x, s) for x in "ab" for s in ("_:a", "_:a", "_:b", "x")]
+
+
+def test_shapes_and_tests_keep_compressed_copies_only(spark):
+    triple = "s string, p string, o string, o_kind string, o_type string"
+    rows = [x for i in range(3_000) for x in ((f"line:{i}", "rdf:type", "m:Line", "iri", None), (f"line:{i}", "m:of", f"part:{i % 7}", "iri", None))] + [(f"part:{i}", "m:size", str(i), "typed", "xsd:integer") for i in range(7)]
+    shared_folder(spark)
+    before = _bytes(spark)
+    graph = spark.createDataFrame(rows, triple)
+    rules = [shapes.Shape("F-SIZE", "m:Line", step("m:of") / step("m:size"), least=1, among=("1", "2"))]
+    tests = [shapes.Test("F-TWO", "m:Line", {"size": step("m:of") / step("m:size")}, "size = '2'")]
+    found = {r.focus: r.families for r in shapes.faults(graph, rules, tests).collect()}
+    want = {f"line:{i}": ["F-TWO"] if i % 7 == 2 else ["F-SIZE"] for i in range(3_000) if i % 7 != 1}
+    assert found == want
+    assert _bytes(spark) - before < 600_000
