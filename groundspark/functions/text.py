@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -114,6 +116,43 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Characters a gram of `ratio_if_at_least`.
+GRAM = 4
+
+
+def _grams(x: str) -> Counter:
+    return Counter(x[i : i + GRAM] for i in range(len(x) - GRAM + 1))
+
+
+_kept_grams = functools.lru_cache(1024)(_grams)
+
+
+def most_matched(a: str, b: str) -> int:
+    """No common subsequence of a and b is longer.
+
+    A character that only one has destroys GRAM grams of its own text at most, or GRAM - 1 of the other's, so the
+    grams that both have bound how many such characters there are.
+    """
+    mine, other = (_kept_grams(x) if len(x) < 2000 else _grams(x) for x in (a, b))
+    common = sum(min(mine[g], other[g]) for g in mine.keys() & other.keys())
+    return min(len(a), len(b), (common + (GRAM - 1) * (len(a) + len(b) + 1)) // (2 * GRAM - 1))
+
+
+def ratio_if_at_least(a: Column, b: Column, least: float) -> Column:
+    """sequence_ratio where it is at least `least`, else null; pairs whose common grams rule that out are not aligned."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = []
+        for x, y in zip(a, b, strict=True):
+            able = x is not None and y is not None and (x == y or 2.0 * most_matched(x, y) / (len(x) + len(y)) >= least)
+            r = difflib.SequenceMatcher(None, x, y).ratio() if able else None
+            found.append(r if r is not None and r >= least else None)
+        return pd.Series(found, dtype="float64")
+
+    return ratio(a, b)
+
+
 def positions_to_text(index: Column) -> Column:
     """An inverted index, map word -> positions, as text."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))

@@ -16,6 +16,10 @@ from groundspark.session import checkpointed
 PREFERRED = ["ieee", "scopus", "wos", "acm", "sciencedirect", "springer", "openalex", "semanticscholar", "arxiv"]
 #: Each step of length is so many times the one before.
 STEP = 1.16
+#: Frequent characters of titles, each counted for itself; all others count as one.
+CHARACTERS = "etaoinshrdlcu "
+#: Titles of a step that meet their partners in one part.
+DEALT = 64
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -91,6 +95,32 @@ def uncertain(works: DataFrame, least: float = 0.93) -> DataFrame:
     return equal.select("a", "b", F.lit(1.0).alias("ratio")).unionByName(alike.select("a", "b", F.bround("ratio", 3).alias("ratio")))
 
 
+def alike_titles(titles: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """a, b (ids, a < b), ratio (not rounded): pairs of rows with equal keys (without nulls) whose titles are `least` (0.93 to 1) alike or more.
+
+    titles: keys, id, title (not empty; a-z, 0-9 and spaces). What rules a pair out is asked from cheap to dear, and loses none: steps of
+    length, since lengths of a pair of 0.93 differ by less than a step; lengths; counts of characters, since what
+    one title has more of is matched by nothing; then, in Python, common grams. Only the rest are aligned. The rows of a
+    step that many titles share are dealt into parts of about DEALT, and each part meets all of its partners apart from the others.
+    """
+    c = F.col
+    many = [F.length("title") - F.length(F.replace(c("title"), F.lit(x))) for x in CHARACTERS] + [F.length(F.translate("title", CHARACTERS, ""))]
+    rows = titles.select(*keys, "id", "title", F.floor(F.log(F.length("title").cast("double")) / math.log(STEP)).alias("step"))
+    large = rows.groupBy(*keys, "step").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts")).where("parts > 1")
+    dealt = checkpointed(rows.join(F.broadcast(large), [*keys, "step"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    side = lambda df, x: df.select(*keys, "step", "part", c("id").alias(x), c("title").alias(f"t{x}"), *[n.alias(f"{x}{i}") for i, n in enumerate(many)])
+    b = side(dealt.withColumn("part", F.pmod(F.xxhash64("title", "id"), c("parts")).cast("int")), "b")
+    near = dealt.drop("parts").withColumn("step", F.explode(F.array(*[c("step") + k for k in (-1, 0, 1)])))
+    near = near.join(F.broadcast(large), [*keys, "step"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    both, shorter = F.length("ta") + F.length("tb"), F.least(F.length("ta"), F.length("tb"))
+    apart = sum((F.abs(c(f"a{i}") - c(f"b{i}")) for i in range(len(many))), F.lit(0))
+    able = (c("a") < c("b")) & (2 * shorter / both >= least) & ((both - apart) / both >= least)
+    # A number of partitions that is asked for is not lowered: little to move may be much to align.
+    tasks, place = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "step", "part"]
+    pairs = side(near, "a").repartition(tasks, *place).join(b.repartition(tasks, *place), place).where(able).select("a", "b", "ta", "tb")
+    return pairs.withColumn("ratio", text.ratio_if_at_least(c("ta"), c("tb"), least)).where("ratio is not null").select("a", "b", "ratio")
+
+
 def screened(records: DataFrame, rules: dict[str, str]) -> DataFrame:
     """records with reason: the first rule, by name, that title and abstract do not match; null if all do. Rules are those named A and a digit."""
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))

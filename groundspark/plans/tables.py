@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from groundspark.functions import stats, text
-from groundspark.operators import coverage, graph, lexical
+from groundspark.operators import coverage, graph, lexical, linkage
 from groundspark.operators.joins import join_once
 from groundspark.plans.registry import query, table
 
@@ -208,17 +206,10 @@ def t_title_nfkd(spark, sf_dir):
 
 @query()
 def t_fuzzy_pairs(spark, sf_dir):
-    """Titles of one language and first word that are alike but not equal, each title once.
-
-    No ratio can exceed twice the shorter length over the sum of both, so titles of 0.93 are in the same
-    or neighbouring steps of length, each step 1.16 times the one before; that divides common first words.
-    """
+    """Titles of one language and first word that are alike but not equal, each title once."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", text.ascii_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
-    d = d.where("title <> ''").groupBy("lang", "title").agg(F.min("doc_id").alias("doc_id")).withColumn("block", F.split_part("title", F.lit(" "), F.lit(1)))
-    d = d.withColumn("step", F.floor(F.log(F.length("title").cast("double")) / math.log(1.16)))
-    a, b = d.toDF("lang", "title_a", "a", "block", "step"), d.toDF("lang", "title_b", "b", "block", "step")
-    a = a.withColumn("step", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])))
-    return a.join(b, ["lang", "block", "step"]).where("a < b and abs(length(title_a) - length(title_b)) <= 0.08 * (length(title_a) + length(title_b))").withColumn("ratio", text.sequence_ratio("title_a", "title_b")).where("ratio >= 0.93").select("a", "b", F.bround("ratio", 4).alias("ratio"))
+    d = d.where("title <> ''").groupBy("lang", "title").agg(F.min("doc_id").alias("id")).withColumn("block", F.split_part("title", F.lit(" "), F.lit(1)))
+    return linkage.alike_titles(d, ["lang", "block"], 0.93).select("a", "b", F.bround("ratio", 4).alias("ratio"))
 
 
 _PART_FACTS = """WITH r AS (SELECT 'size' AS category, p_partkey AS key, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT 'brand', p_partkey, p_brand FROM part),
