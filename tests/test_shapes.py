@@ -100,3 +100,21 @@ def test_both_ways_agree_on_odd_actions(spark):
     df = spark.createDataFrame([one(i) for i in range(400)], rules.ACTION)
     rows = action_shapes.compared(df, rules.World(spark), triples.plant(spark)).collect()
     assert len(rows) == 400 and [(r.cid, r.columns, r.triples) for r in rows if r.columns != r.triples] == []
+
+
+def test_a_walk_goes_on_once_from_each_node_that_many_starts_came_to(spark, monkeypatch):
+    n, sizes, stored = 500, [], shapes.stored
+
+    def counted(df):
+        kept = stored(df)
+        if "state" in kept.columns:
+            sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(shapes, "stored", counted)
+    rows = [(f"a{i}", "rdf:type", "m:Act", "iri", None) for i in range(n)] + [(f"a{i}", "m:on", f"s{i % 3}", "iri", None) for i in range(n)]
+    rows += [(f"s{i}", "m:unit", f"u{i}", "iri", None) for i in range(3)] + [("u0", "m:dim", "L", "plain", None), ("u1", "m:dim", "M", "plain", None)]
+    tests = [Test("F-NONE", "m:Act", {"dim": step("m:on") / step("m:unit") / step("m:dim")}, "dim is null"), Test("F-M", "m:Act", {"dim": step("m:unit") / step("m:dim")}, "dim = 'M'", each=step("m:on"))]
+    got = {(r.focus, r.family) for r in shapes.test_faults(spark.createDataFrame(rows, SCHEMA), tests).collect()}
+    assert got == {(f"a{i}", f) for i in range(n) for f, at in (("F-NONE", 2), ("F-M", 1)) if i % 3 == at}
+    assert sizes and max(sizes) <= 6
