@@ -74,3 +74,21 @@ def test_hops_are_the_fewest(spark):
 def test_no_triples(spark):
     none = spark.createDataFrame([], "s string, p string, o string")
     assert paths.reached(none, A.star()).count() == paths.reached(none, A / B).count() == 0
+
+
+@pytest.mark.parametrize("name", ["then", "then star", "back star", "maybe", "two stars", "turned twice", "plus"])
+def test_counts_are_those_of_the_pairs(spark, name):
+    rng = random.Random(name)
+    triples = [(f"n{rng.randrange(7)}", rng.choice("abc"), f"n{rng.randrange(7)}") for _ in range(14)]
+    want = walked(triples, PATHS[name])
+    got = paths.counted(spark.createDataFrame(triples, "s string, p string, o string"), PATHS[name]).collect()
+    assert [tuple(r) for r in got] == [(len(want), len({a for a, _ in want}), len({b for _, b in want}))]
+
+
+def test_pairs_of_a_sequence_are_counted_without_being_written_out(spark, monkeypatch):
+    sizes, stored = [], paths.stored
+    monkeypatch.setattr(paths, "stored", lambda df: sizes.append((kept := stored(df)).count()) or kept)
+    n = 400
+    triples = [(f"o{i}", "a", "hub") for i in range(n)] + [("hub", "b", f"t{i}") for i in range(n)]
+    got = paths.counted(spark.createDataFrame(triples, "s string, p string, o string"), A / B).collect()
+    assert [tuple(r) for r in got] == [(n * n, n, n)] and max(sizes) <= n
