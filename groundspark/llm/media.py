@@ -42,7 +42,7 @@ def _store(batches):
             for t in texts.to_pylist():
                 payloads.append(payload_of(t))
                 sizes.append(len(t.encode("utf-8", "surrogatepass")) if t else 0)
-            media = [webp.encode_bytes(p, ROW) for p in payloads]
+            media = webp.encode_many(payloads, ROW)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array([len(p) for p in payloads], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "payload_bytes", "media"])
 
 
