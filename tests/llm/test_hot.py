@@ -73,3 +73,22 @@ def test_a_third_of_all_documents_hold_one_secret(spark):
     assert all((got[i].n_live, got[i].n_copied, got[i].n_plain) == ((0, 1, 0) if i % 3 == 0 else (1, 0, 0)) for i in range(300))
     assert [(got[i].n_live, got[i].n_plain) for i in (301, 302, 303, 304)] == [(0, 1), (0, 1), (1, 0), (1, 0)]
     assert got[305].spans == "owned:6:20"
+
+
+def test_join_once_broadcasts_only_where_a_key_is_hot(spark):
+    from groundspark.operators.joins import FEW
+
+    rows = spark.range(200).select((F.col("id") % 50).alias("key"), "id")
+    was = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for more in (0, FEW):
+            both = rows.unionByName(spark.range(more).select(F.lit(7).cast("long").alias("key"), (F.col("id") + 1000).alias("id")))
+            once = both.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+            joined = join_once(both, once, ["key"])
+            assert joined.columns == ["key", "id", "least"]
+            assert sorted(map(tuple, joined.collect())) == sorted((r.key, r.id, r.key) for r in both.collect())
+            assert ("BroadcastExchange" in joined._jdf.queryExecution().toString()) == bool(more)
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
