@@ -242,13 +242,27 @@ def _tokens(bits: Bits, group: list[Code], at: int, stop: int):
         after = np.minimum(np.arange(limit) + (both & 15), limit - 1)
         far = np.flatnonzero((both >= 256 << 4) & (both < 280 << 4))
         if len(far):
+            p = after[far] + EXTRA.take((both[far] >> 4) - 256)
+            if dist.only is None:
+                p += (dist.lengths + EXTRA[dist.symbols]).take(peek.take(np.minimum(p, limit - 17)) & dist.mask)
+            else:
+                p += EXTRA[dist.only]
+            after[far] = np.minimum(p, limit - 1)
+        last = first + len(part) == len(raw)
+        begin, end = bits.at - 8 * first, bits.size + 1 - 8 * first if last else limit - 512
+        places = jumps(after, end, begin)
+        if not len(places):
+            raise ValueError("the image ends too early")
+        got = both[places] >> 4
+        sizes, codes, back = np.ones(len(got), "i8"), np.zeros(len(got), "i8"), np.flatnonzero((got >= 256) & (got < 280))
+        if len(back):
 
             def field(p, k):  # up to 16 bits at each of the places p
                 return peek[np.minimum(p, limit - 17)].astype("i8") & (1 << k) - 1
 
-            s = (both[far] >> 4) - 256
-            p = after[far].astype("i8")
-            lengths = BASE[s] + field(p, EXTRA[s])
+            s = got[back] - 256
+            p = places[back] + (both[places[back]] & 15)
+            sizes[back] = BASE[s] + field(p, EXTRA[s])
             p = p + EXTRA[s]
             if dist.only is None:
                 idx = peek[np.minimum(p, limit - 17)] & dist.mask
@@ -257,18 +271,7 @@ def _tokens(bits: Bits, group: list[Code], at: int, stop: int):
             else:
                 d = np.full(len(p), dist.only, "i8")
             k = EXTRA[d]
-            distances = BASE[d] + field(p, np.minimum(k, 16)) + (field(p + 16, np.maximum(k - 16, 0)) << 16)
-            after[far] = np.minimum(p + k, limit - 1)
-        last = first + len(part) == len(raw)
-        begin, end = bits.at - 8 * first, bits.size + 1 - 8 * first if last else limit - 512
-        places = jumps(after, end, begin)
-        if not len(places):
-            raise ValueError("the image ends too early")
-        got = both[places] >> 4
-        sizes, codes, back = np.ones(len(got), "i8"), np.zeros(len(got), "i8"), np.flatnonzero((got >= 256) & (got < 280))
-        if len(back):
-            where = np.searchsorted(far, places[back])
-            sizes[back], codes[back] = lengths[where], distances[where]
+            codes[back] = BASE[d] + field(p, np.minimum(k, 16)) + (field(p + 16, np.maximum(k - 16, 0)) << 16)
         ends = at + np.cumsum(sizes)
         keep = int(np.searchsorted(ends, stop)) + 1
         at = int(ends[:keep][-1])
@@ -585,6 +588,8 @@ BATCH_PIXELS = 1 << 17
 FARTHEST = (1 << 20) - 120
 LONGEST = 4096
 SHORTEST = 5
+#: Pixels of references that are compared at once.
+COMPARED = 1 << 18
 #: Blocks of the predictor have 64 x 64 pixels.
 MODE_BITS = 6
 #: Sizes of colour cache that are tried, in bits. Places that few grey values share only rename literals: 2 to 4 bits were never the best for 8,000 texts.
@@ -889,19 +894,28 @@ def matches(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.
     distance, length = np.zeros(n + 1, "i8"), np.zeros(n + 1, "i8")
     distance[here[good]] = here[good] - before[good]
     # Neighbours of one distance agree as far as the last of them: only those are compared.
-    last = np.flatnonzero((distance[:-1] > 0) & ((distance[1:] != distance[:-1]) | (np.arange(1, n + 1) == end)))
+    ending = (distance[:-1] > 0) & ((distance[1:] != distance[:-1]) | (np.arange(1, n + 1) == end))
+    last = np.flatnonzero(ending)
     known = np.full(len(last), SHORTEST)
     open_, at, back, room = np.arange(len(last)), last, last - distance[last], end[last] - last
+    far = 0  # of most, eight pixels tell; the few that go on are compared many words at a time
     while len(open_):
         k = known[open_]
-        differ = words[at + k] ^ words[back + k]
+        if far:
+            ahead = k[:, None] + np.arange(0, far, 8)
+            unlike = words[np.minimum(at[:, None] + ahead, n)] != words[np.minimum(back[:, None] + ahead, n)]
+            skip = np.where(unlike.any(1), 8 * unlike.argmax(1), far)
+        else:
+            skip = 0
+        differ = words[np.minimum(at + k + skip, n)] ^ words[np.minimum(back + k + skip, n)]
         low = differ & -differ
-        equal = np.minimum(np.where(differ == 0, 8, (np.frexp(low.astype("f8"))[1] - 1) >> 3), room - k)
+        equal = np.minimum(skip + np.where(differ == 0, 8, (np.frexp(low.astype("f8"))[1] - 1) >> 3), room - k)
         known[open_] = k + equal
-        go = (equal == 8) & (k + 8 < LONGEST)
+        go = (equal == far + 8) & (k + far + 8 < LONGEST)
         open_, at, back, room = open_[go], at[go], back[go], room[go]
+        far = min(504, max(56, COMPARED // max(1, len(open_)) & ~7))
     has = np.flatnonzero(distance[:n])
-    run = np.searchsorted(last, has)
+    run = (np.cumsum(ending) - ending)[has]
     length[has] = np.minimum(known[run] + last[run] - has, LONGEST)
     return distance[:n], length[:n]
 

@@ -136,3 +136,26 @@ def test_damage_is_told_by_errors_that_are_caught():
             raw[k] ^= 1 << int(RNG.integers(0, 8))
         images, error = media._decoded(bytes(raw))
         assert (images is None) == (error is not None)
+
+
+def test_long_matches_are_compared_many_pixels_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    once = rng.integers(0, 256, 3000).astype("u1")
+    values = np.concatenate([once, once[40:50], once[1500:1510], once[:700], rng.integers(0, 256, 300).astype("u1"), np.zeros(6000, "u1"), once[:2900]])
+    n, rounds, frexp = len(values), [], np.frexp
+    monkeypatch.setattr(np, "frexp", lambda x: rounds.append(len(x)) or frexp(x))
+    distance, length = webp.matches(values, np.zeros(n, "i8"), np.full(n, n))
+    monkeypatch.undo()
+    assert len(rounds) <= 12
+    data, seen = values.tobytes(), {}
+    for i in range(n):
+        key = data[i : i + webp.SHORTEST]
+        before = seen.get(key) if len(key) == webp.SHORTEST else None
+        seen[key] = i
+        if before is None:
+            assert distance[i] == length[i] == 0
+            continue
+        k = webp.SHORTEST
+        while k < webp.LONGEST and i + k < n and data[i + k] == data[before + k]:
+            k += 1
+        assert (distance[i], length[i]) == (i - before, k)
