@@ -1,4 +1,5 @@
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,22 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and got[101] == 100 and got[50] == 50
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_components_of_edges_dealt_out(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(180)] + [(1_000 + i, 1_001 + i) for i in range(50)] + [(None, 2_000), (2_001, None)]
+    rng.shuffle(rows)
+    root = {x: x for r in rows for x in r if x is not None}
+    for _ in root:
+        for a, b in rows:
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(rows, "src long, dst long").repartition(parts)
+    assert sorted((r.node, r.root) for r in graph.components(edges).collect()) == sorted(root.items())
+    text = edges.selectExpr("cast(src as string) src", "cast(dst as string) dst")
+    assert len({r.root for r in graph.components(text).collect()}) == len(set(root.values()))
+
+
 def test_packing_skips_and_goes_on(spark):
     items = spark.createDataFrame([("q", 1, 5), ("q", 2, 9), ("q", 3, 4), ("q", 4, 1)], "g string, o int, c int")
     assert tuple(lexical.pack_greedily(items, "g", "o", "c", 10).first()) == ("q", 10, "1,3,4")
